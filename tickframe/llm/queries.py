@@ -43,6 +43,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.judge_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +66,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_media_columns, op9_byte_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_media_columns, op5_quality_rules, op9_byte_bpe, op10_chat_format)}
 
 ORACLES = {
     "op1_mix_sources": r"""
