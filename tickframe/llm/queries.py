@@ -43,12 +43,30 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~language.held_out(docs)))
+    found = language.predict(docs.withColumn("is_held_out", language.held_out(docs)), model, reject=False, keep=("is_held_out",))
+    return found.withColumnRenamed("is_held_out", "held_out")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
     return quality.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import html_text
+
+    found = html_text.extract_pages(table(spark, sf_dir, "pages"), keep=("url",))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,7 +84,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_media_columns, op5_quality_rules, op9_byte_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_media_columns, op4_language_id, op5_quality_rules, op6_main_text, op9_byte_bpe, op10_chat_format)}
 
 ORACLES = {
     "op1_mix_sources": r"""
