@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import pickle
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_columns, settle, ship, slices, text_or_empty
+from .runtime import fresh, map_columns, settle, ship, slices, text_or_empty
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 COMMON, LEAST_SHARE = 1 / 400, 1 / 1000
@@ -195,36 +196,54 @@ class Judge:
 
 @functools.lru_cache(maxsize=4)
 def _judge(key: bytes) -> Judge:
-    import pickle
-
     return Judge(pickle.loads(key))
 
 
+_MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
+
+
+def _measure(text: str, judge: Judge | None) -> tuple:
+    words = words_of(text)
+    n = len(words)
+    repeated = repeated_words(words)
+    failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED * n
+    of_class = of_words = None
+    kept = not failed
+    if n >= MIN_WORDS and judge:
+        of_class, of_words = judge.distances(text)
+        kept = kept and of_class <= CLASS_LIMIT and of_words <= WORD_LIMIT + NOISE / n**0.5
+    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated, failed, kept, of_class, of_words
+
+
 def measure(docs: DataFrame, refs: list[tuple], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All measures and both verdicts of every row; the distances are null where guards keep them from being judged."""
-    import pickle
-
     key = pickle.dumps(refs)
 
     def kernel(ids, texts):
         judge = _judge(key) if refs else None
-        rows = []
-        for text in texts:
-            words = words_of(text)
-            n = len(words)
-            repeated = repeated_words(words)
-            failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED * n
-            of_class = of_words = None
-            kept = not failed
-            if n >= MIN_WORDS and judge:
-                of_class, of_words = judge.distances(text)
-                kept = kept and of_class <= CLASS_LIMIT and of_words <= WORD_LIMIT + NOISE / n**0.5
-            rows.append((n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated, failed, kept, of_class, of_words))
-        return [ids, *map(list, zip(*rows))]
+        return [ids, *map(list, zip(*(_measure(text, judge) for text in texts)))]
 
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"{id_column} {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
-    return map_columns(docs, [docs[id_column], text_or_empty(docs, text_column).alias("text")], schema, kernel)
+    return map_columns(docs, [docs[id_column], text_or_empty(docs, text_column).alias("text")], f"{id_column} {kind}, {_MEASURES}", kernel)
+
+
+def keep_good(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns, judged where they lie: no join."""
+    refs = references(docs, text_column, lang_column)
+    key = pickle.dumps(refs)
+    (own,) = fresh(docs, "quality_text")
+    names = docs.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        judge = _judge(key) if refs else None
+        for batch in batches:
+            for part in slices(batch):
+                good = [_measure(text, judge)[6] for text in part.column(part.num_columns - 1).to_pylist()]
+                yield part.filter(pa.array(good, pa.bool_())).select(names)
+
+    return docs.withColumn(own, text_or_empty(docs, text_column)).mapInArrow(run, docs.schema)
 
 
 def judge_documents(docs: DataFrame) -> DataFrame:

@@ -67,6 +67,18 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_dups
+
+    return near_dups.classes(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,7 +96,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_media_columns, op4_language_id, op5_quality_rules, op6_main_text, op9_byte_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_media_columns, op4_language_id, op5_quality_rules, op6_main_text, op7_line_dedup, op8_near_duplicates, op9_byte_bpe, op10_chat_format)}
 
 ORACLES = {
     "op1_mix_sources": r"""
