@@ -112,3 +112,33 @@ def r18_unit_framing(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), "n_chars").filter("n_chars > 0")
     cut = lambda step: d.select("stream", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars") - 1, F.lit(step).cast("long"))).alias("place"))
     return asof.asof(cut(301), cut(188).withColumn("pts", F.col("place") * 10), ["stream"], "place", ["pts"])
+
+
+@query()
+def r01_release_machine(spark, sf_dir):
+    """The data-driven release with its bounded queue, as a fold."""
+    from ..streaming import machines
+
+    p = packets(spark, sf_dir).select("stream", "seq", F.col("pts").alias("ts"), "dts", F.col("bytes").alias("size"))
+    return machines.run_batch(p, "stream", "seq", machines.release)
+
+
+@query()
+def r07_buffering(spark, sf_dir):
+    from ..streaming import machines
+
+    p = packets(spark, sf_dir)
+    rows = p.select(
+        "stream", "seq", F.col("us").alias("now"), (F.col("us") + F.col("bytes") * 1000).alias("horizon"), (F.col("kind") == "error").alias("starved"), (F.col("bytes") % 2 == 0).alias("source_starved"),
+        F.lit(False).alias("eof"), (F.col("kind") != "view").alias("primed"), (F.col("bytes") > 9000).alias("full"),
+    )
+    return machines.run_batch(rows, "stream", "seq", machines.buffering)
+
+
+@query(f"""WITH p AS (SELECT stream, seq, keyframe, bytes % 3 AS track, CASE WHEN keyframe THEN bytes % 3 END AS sel FROM {PACKETS_SQL}), s AS (SELECT *, last_value(sel IGNORE NULLS) OVER (PARTITION BY stream ORDER BY seq) AS playing FROM p)
+SELECT stream, seq, track FROM s WHERE NOT keyframe AND track = playing""")
+def r11_selection_switch(spark, sf_dir):
+    from ..streaming import machines
+
+    p = packets(spark, sf_dir).select("stream", "seq", F.when(F.col("keyframe"), F.col("bytes") % 3).alias("select"), (F.col("bytes") % 3).alias("track"))
+    return machines.run_batch(p, "stream", "seq", machines.selection)

@@ -161,8 +161,9 @@ def sami(text: str) -> Iterator[Cue]:
     parts = re.split(r"<\s*sync\b[^>]*?start\s*=\s*[\"']?(\d+)[^>]*>", text, flags=re.I)
     rows = []
     for stamp, body in zip(parts[1::2], parts[2::2]):
-        body = re.sub(r"<\s*br\s*/?>", "\n", re.sub(r"</?(?:body|sami)[^>]*>", "", body, flags=re.I), flags=re.I)
-        rows.append((int(stamp) * 1000, html.unescape(re.sub(r"<[^>]*>", "", body.replace("\n", " ") if "<br" not in body.lower() else body)).replace("\xa0", " ").strip()))
+        body = re.sub(r"<\s*br\s*/?>", "\n", body.replace("\n", " "), flags=re.I)
+        shown = html.unescape(re.sub(r"<[^>]*>", "", body)).replace("\xa0", " ")
+        rows.append((int(stamp) * 1000, "\n".join(line.strip() for line in shown.split("\n")).strip()))
     for (start, body), following in zip(rows, [*rows[1:], (None, "")]):
         if body:
             yield start, following[0], body
