@@ -204,3 +204,13 @@ def s10_manifest(spark, sf_dir):
     entries, errors = records.read_manifest(spark, text, ["video:x", "audio:y", "audio:z"])
     assert not errors
     return entries.select("path", F.size("rows").alias("n_rows"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 3 = 0 THEN 'amr' END AS container, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS packets, doc_id % 3 = 0 AS ok FROM documents")
+def r14_fault_isolation(spark, sf_dir):
+    """A damaged file is reported and the others go on."""
+    frame = "3C" + "00" * 31
+    amr = F.unhex(F.lit("2321414D520A" + frame * 2 + "3C"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 3 == 0, amr).otherwise(F.encode("text", "UTF-8")).alias("content"))
+    return containers.demux_report(files).select("path", "container", "packets", "ok")
+

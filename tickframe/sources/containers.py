@@ -119,6 +119,17 @@ def probe(data: bytes) -> str | None:
     return next((name for name, (fits, _) in DEMUXERS.items() if fits(data)), None)
 
 
+def packets_of(data: bytes) -> tuple[str | None, list[tuple], str | None]:
+    """Container, packets and what broke off, if anything: one damaged file doesn't end a job."""
+    name, rows = probe(data), []
+    try:
+        for i, (stream, pts, duration, key, body, num, den) in enumerate(DEMUXERS[name][1](data) if name else ()):
+            rows.append((i, stream, pts, duration, key, len(body), num, den))
+    except (struct.error, IndexError, ZeroDivisionError) as error:
+        return name, rows, f"{type(error).__name__}: {error}"
+    return name, rows, None if name else "no container"
+
+
 def demux_files(files: DataFrame) -> DataFrame:
     """Packets of a table of files (path, content); a file that breaks off gives the packets before that."""
 
@@ -128,18 +139,29 @@ def demux_files(files: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                data = bytes(content or b"")
-                name = probe(data)
-                try:
-                    for i, (stream, pts, duration, key, body, num, den) in enumerate(DEMUXERS[name][1](data) if name else ()):
-                        rows.append((path, name, i, stream, pts, duration, key, len(body), num, den))
-                except (struct.error, IndexError):
-                    continue
+                name, found, _ = packets_of(bytes(content or b""))
+                rows += [(path, name, *r) for r in found]
             out = pd.DataFrame(rows, columns=[f.split()[0] for f in SCHEMA.split(", ")])
             yield out.astype({"pts": "Int64", "duration": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def demux_report(files: DataFrame) -> DataFrame:
+    """``(path, container, packets, ok, error)`` of each file."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                name, found, error = packets_of(bytes(content or b""))
+                rows.append((path, name, len(found), error is None, error))
+            yield pd.DataFrame(rows, columns=["path", "container", "packets", "ok", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, container string, packets long, ok boolean, error string")
+
+
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     return demux_files(spark.read.format("binaryFile").load(path))
