@@ -159,9 +159,9 @@ def w16_audio_trim(spark, sf_dir):
     return intervals.trim(f, ["stream"], "seq").select("stream", "seq", "from_sample", "to_sample")
 
 
-@query("SELECT l_partkey AS cue, l_returnflag AS property, arg_max(l_linestatus || l_quantity::INT, (l_linenumber, l_orderkey)) AS value FROM lineitem GROUP BY ALL")
+@query("SELECT l_partkey AS cue, l_returnflag AS property, arg_max(l_linestatus || l_quantity::INT, (l_linenumber, l_orderkey * 1000 + l_suppkey)) AS value FROM lineitem GROUP BY ALL")
 def w17_cascade(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("cue"), F.col("l_returnflag").alias("property"), F.concat("l_linestatus", F.col("l_quantity").cast("int").cast("string")).alias("value"), F.col("l_linenumber").alias("specificity"), F.col("l_orderkey").alias("position"))
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("cue"), F.col("l_returnflag").alias("property"), F.concat("l_linestatus", F.col("l_quantity").cast("int").cast("string")).alias("value"), F.col("l_linenumber").alias("specificity"), (F.col("l_orderkey") * 1000 + F.col("l_suppkey")).alias("position"))
     return ordered.cascade(d, ["cue"])
 
 
