@@ -149,7 +149,8 @@ def references(docs: DataFrame, text_column: str = "text", lang_column: str = "l
     kept = {row["lang"]: row["words"] for row in large.collect()}
     if not kept:
         return []
-    big = sums.join(large.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")))
+    # broadcast: at most 1 / LEAST_SHARE rows, and the few languages don't become the few tasks of a join
+    big = sums.join(F.broadcast(large.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l")))
     rows = big.filter((F.col("kind") == "c") | (F.col("n") >= COMMON * F.col("words"))).select("lang", "kind", "key", "n").collect()
     found = []
     for lang, total in sorted(kept.items(), key=lambda x: (x[0] is None, x[0])):
