@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickframe.llm import byte_bpe, chat, html_text, language, line_dedup, media, mixing, near_dups, quality, queries, token_counts
+from tickframe.llm import byte_bpe, chat, html_text, language, line_dedup, links, media, mixing, near_dups, quality, queries, token_counts
 from tickframe.llm.runtime import WORD
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -381,6 +381,40 @@ def test_near_duplicates_equal_brute_force(spark, percent):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (sizes[i], roots[i], roots[i] == i), i
 
 
+def test_dense_buckets_in_blocks(spark, monkeypatch):
+    """Large unsettled buckets, cut into several blocks, for documents and for lines."""
+    monkeypatch.setattr(links, "PAIRWISE", 2)
+    monkeypatch.setattr(links, "BLOCK_MEMBERS", 4)
+    monkeypatch.setattr(links, "ROUNDS", 1)
+    texts = copies(5)[:150]
+    roots, _ = brute_classes(texts, 85)
+    got = by_id(near_dups.classes(docs_of(spark, texts), 85))
+    assert [got[i].component_id for i in range(len(texts))] == roots
+    texts = near_texts(40)
+    got = by_id(line_dedup.report(docs_of(spark, texts)))
+    assert {i: list(r.removed_lines) for i, r in got.items() if r.removed_lines} == brute_lines(list(enumerate(texts)))
+
+
+def test_products_find_similar_sets(monkeypatch):
+    monkeypatch.setattr(near_dups, "COLUMNS", 64)
+    r = np.random.default_rng(0)
+    base = r.integers(0, 2**63, 300, dtype=np.uint64)
+
+    def one():
+        kept = r.random(300) > r.random() * 0.3
+        return np.unique(np.concatenate([base[kept], r.integers(0, 2**63, int((~kept).sum()), dtype=np.uint64)]))
+
+    a, b = [one() for _ in range(40)], [one() for _ in range(50)]
+
+    def like(x, y):
+        common = len(np.intersect1d(x, y))
+        return 100 * common >= 85 * (len(x) + len(y) - common)
+
+    find = near_dups.similar(85)
+    assert sorted(find(a, b)) == [(i, j) for i in range(40) for j in range(50) if like(a[i], b[j])]
+    assert sorted(find(a, None)) == [(i, j) for i in range(40) for j in range(i + 1, 40) if like(a[i], a[j])]
+
+
 def test_near_duplicates_ids(spark):
     rows = [(None, "alpha beta gamma delta epsilon zeta"), (5, "alpha beta gamma delta epsilon zeta"), (3, None), (3, None), (None, "x"), (7, "one two three four five six"), (7, "one two three four five six")]
     got = sorted((r.doc_id or -1, r.component_id if r.component_id is not None else -1) for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect())

@@ -7,10 +7,13 @@ such links are found without listing the pairs of a bucket:
    centre, and only pairs of the centre with members of other components are checked.
    Members of a group of near copies merge after a round or two, and a bucket all of whose
    members are in one component is done.
-2. What is left is settled exactly: every pair of members of different components in one bucket is checked.
+2. What is left is settled exactly.  In buckets of up to ``PAIRWISE`` members every pair of members of different
+   components is checked, which is at most PAIRWISE / 2 pairs a member.  Larger buckets, as
+   groups just below the threshold make them, are cut into blocks of bounded size, and each pair of blocks is
+   compared as a whole where it lies: only links come out, no more than a spanning forest of the two blocks' components.
 
-So no link between components is lost, and a group of n copies costs about n checks.  Buckets are
-never gathered: they are sums by key and joins on the key, whose skew Spark splits.
+So no link between components is lost, a group of n copies costs about n checks, and no group's pairs are written
+out.  Buckets are never gathered: they are sums by key and joins on the key, whose skew Spark splits.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import settle
+from .runtime import settle, slices
 
-ROUNDS, SMALL = 3, 1_000_000
+ROUNDS, SMALL, PAIRWISE = 3, 1_000_000, 64
+#: Members of a block on average, and the sum of their sizes.
+BLOCK_MEMBERS, BLOCK_SIZE = 384, 1_500_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -56,22 +61,92 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return settle(moved.unionByName(fresh))
 
 
-def _only(entries: DataFrame, keys: DataFrame) -> DataFrame:
-    """Entries whose key is in ``keys`` (k, distinct).  The keys are counted: up to SMALL of them, 16 bytes
-    each, are broadcast; beyond, both sides are dealt by key."""
+def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is in ``keys`` (one column, distinct, settled).  The keys are counted: up to SMALL of
+    them, 16 bytes each, are broadcast, so that ``df`` isn't dealt out; beyond, both sides are dealt by key."""
     few = keys.limit(SMALL + 1).count() <= SMALL
-    return entries.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("k"), "left_semi")
-
-
-def resolve(entries: DataFrame, confirm: Callable[[DataFrame], DataFrame], fits: str = "true") -> DataFrame | None:
+    own = keys.toDF("among_key")
+    return df.join(F.broadcast(own) if few else own, F.col(column) == F.col("among_key"), "left_semi")
+
+
+def _forest(nodes: list, labels: list, pairs) -> list[tuple]:
+    """Of pairs of positions those that join components so far apart."""
+    parent: dict = {}
+
+    def find(x):
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in pairs:
+        x, y = find(labels[i]), find(labels[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return out
+
+
+def compare_blocks(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame], prepare: Callable, linked: Callable) -> DataFrame:
+    """Links (a, b) between members of different components in large buckets.
+
+    ``rows``: (key, node, label, size).  ``payloads`` gives (node, payload) of the nodes it is asked for, ``prepare`` makes
+    an object of a payload in a worker, and ``linked`` takes two lists of those (the same list twice: each pair within)
+    and yields the positions of linked pairs."""
+    sums = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum("size").alias("sizes"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("sizes") / BLOCK_SIZE)).cast("int")
+    dealt = rows.join(sums.select(F.col("key").alias("k"), blocks.alias("n_blocks")), F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("n_blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    spread = spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label")
+    full = spread.join(payloads(settle(rows.select("node").distinct())).withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("key", "low", "high", "own", "node", "label", "payload")
+    sorted_ = full.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def group_links(group, members):
+        low, high = group[1:]
+        one, two = ([m for m in members if m[0] == own] for own in (low, high))
+        if low == high:
+            found = linked([m[3] for m in one], None)
+            pairs, both = found, one
+        else:
+            pairs, both = ((i, len(one) + j) for i, j in linked([m[3] for m in one], [m[3] for m in two])), one + two
+        return _forest([m[1] for m in both], [m[2] for m in both], pairs)
+
+    def run(batches):
+        import pyarrow as pa
+
+        group, members = None, []
+
+        def out(links):
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for part in slices(batch):
+                for key, low, high, own, node, label, payload in zip(*(part.column(i).to_pylist() for i in range(7))):
+                    if (key, low, high) != group:
+                        if members:
+                            yield out(group_links(group, members))
+                        group, members = (key, low, high), []
+                    members.append((own, node, label, prepare(payload)))
+        if members:
+            yield out(group_links(group, members))
+
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
+
+
+def resolve(entries: DataFrame, confirm: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame], fits: str = "true", candidates: Callable[[DataFrame], None] | None = None) -> DataFrame | None:
     """``(node, label)`` of all nodes that have a link, or None if there is no link.
 
     ``entries``: (key, node) and columns for ``fits``, a condition on a pair that any link meets
-    (columns of its two members end in _a and _b).  Repeated entries are allowed.  ``confirm`` takes pairs (a, b),
-    a < b, distinct, and returns those that are links."""
+    (columns of its two members end in _a and _b); one of the columns is ``size``.  Repeated entries are allowed.  ``confirm``
+    takes pairs (a, b), a < b, distinct, and returns those that are links; ``blocks`` takes (key, node, label, size) of large
+    buckets and returns links (a, b), as ``compare_blocks`` does.  ``candidates`` is told first which nodes
+    either may be asked about."""
     spread = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select(F.col("key").alias("k"))
     spread = settle(spread)
-    shared = settle(_only(entries, spread).distinct())
+    shared = settle(among(entries, "key", spread).distinct())
+    if candidates:
+        candidates(settle(shared.select("node").distinct()))
     labels: DataFrame | None = None
 
     def labelled() -> DataFrame:
@@ -92,7 +167,9 @@ def resolve(entries: DataFrame, confirm: Callable[[DataFrame], DataFrame], fits:
     def linked(pairs: DataFrame) -> DataFrame:
         """Links between labels, of pairs with labels."""
         pairs = settle(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
-        found = settle(confirm(pairs).select("a", "b"))
+        return between(settle(confirm(pairs).select("a", "b")))
+
+    def between(found: DataFrame) -> DataFrame:
         if labels is None:
             return found
         one, two = (labels.select(F.col("node").alias(n), F.col("label").alias(x)) for n, x in (("na", "la"), ("nb", "lb")))
@@ -109,5 +186,10 @@ def resolve(entries: DataFrame, confirm: Callable[[DataFrame], DataFrame], fits:
     rows = unsettled(labelled())
     if rows.isEmpty():
         return labels
+    large = settle(rows.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > PAIRWISE).select(F.col("key").alias("k")))
+    if not large.isEmpty():
+        dense = settle(rows.join(large, F.col("key") == F.col("k"), "left_semi").select("key", "node", "label", "size"))
+        labels = _relabel(labels, between(settle(blocks(dense))))
+        rows = unsettled(labelled()).join(large, F.col("key") == F.col("k"), "left_anti")
     rest = member(rows, "_a").join(member(rows, "_b"), "key").filter("node_a < node_b AND label_a <> label_b").filter(fits)
     return _relabel(labels, linked(rest))

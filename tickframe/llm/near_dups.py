@@ -27,11 +27,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .links import resolve
+from .links import among, compare_blocks, resolve
 from .runtime import Memo, map_columns, settle, text_or_empty
 
 WORDS, REGISTERS, BASE, TOP, MISS = 5, 125, 1.1, 255, 1e-6
-BLOCK = 4096
+BLOCK, COLUMNS = 4096, 4096
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,6 +155,39 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_columns(full, ["a", "b", "texta", "textb"], "a long, b long", kernel).distinct()
 
 
+def similar(percent: int):
+    """Pairs of sets, of two lists or within one, with 100 * intersection >= percent * union.
+
+    Intersections are counted for all pairs at once, by products of membership matrices over the shingles that
+    more than one set has, some columns at a time."""
+
+    def linked(one: list[np.ndarray], two: list[np.ndarray] | None):
+        every = one + (two or [])
+        sizes = np.array([len(s) for s in every])
+        values, columns = np.unique(np.concatenate(every), return_inverse=True)
+        shared = np.bincount(columns, minlength=len(values)) > 1
+        number = np.cumsum(shared) - 1
+        owners = np.repeat(np.arange(len(every)), sizes)
+        keep = shared[columns]
+        owners, columns = owners[keep], number[columns[keep]]
+        split = len(one)
+        common = np.zeros((split, len(every) - split if two is not None else split), dtype=np.float32)
+        order = np.argsort(columns, kind="stable")
+        owners, columns = owners[order], columns[order]
+        for start in range(0, int(shared.sum()), COLUMNS):
+            a, b = np.searchsorted(columns, [start, start + COLUMNS])
+            part = np.zeros((len(every), COLUMNS), dtype=np.float32)
+            part[owners[a:b], columns[a:b] - start] = 1
+            common += part[:split] @ (part[split:] if two is not None else part).T
+        n1, n2 = sizes[:split, None], (sizes[split:] if two is not None else sizes)[None, :]
+        hit = 100 * common >= percent * (n1 + n2 - common)
+        if two is None:
+            hit = np.triu(hit, 1)
+        yield from zip(*(x.tolist() for x in np.nonzero(hit)))
+
+    return linked
+
+
 def classes(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row; the smallest id of a class is kept.
 
@@ -170,14 +203,19 @@ def classes(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring(F.col("registers"), i * rows + 1, rows)) for i in range(REGISTERS // rows)])
     entries = usable.select("node", F.col("n_shingles").alias("size"), F.explode(bands).alias("key")).select("key", "node", "size")
 
+    def texts(used: DataFrame) -> DataFrame:
+        """Of each set the text of one document, the one with the smallest id."""
+        return among(base.withColumnRenamed("doc_id", "node"), "node", used)
+
     def confirm(pairs: DataFrame) -> DataFrame:
         likely = settle(_likely(pairs, usable, threshold))
-        used = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        # the texts of the nodes at hand: of each set one document's, the smallest id's
-        texts = base.withColumnRenamed("doc_id", "node").join(used, "node", "left_semi")
-        return _confirmed(likely, texts, percent)
+        used = settle(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+        return _confirmed(likely, texts(used), percent)
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        return compare_blocks(rows, lambda used: texts(used).withColumnRenamed("text", "payload"), shingles, similar(percent))
 
-    labels = resolve(entries, confirm, fits=f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+    labels = resolve(entries, confirm, blocks, fits=f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
     to_node = nodes.select(F.col("same").alias("s"), "node")
     found = drawn.select("doc_id", "n_shingles", "same").join(to_node, (F.col("same") == F.col("s")) & (F.col("n_shingles") > 0), "left")
     if labels is not None:
