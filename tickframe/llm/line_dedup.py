@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .links import resolve
+from .links import among, compare_blocks, resolve
 from .runtime import WORD, Memo, fresh, map_columns, settle, ship, slices, text_or_empty
 
 EDITS, MIN_CHARS = 2, 40
@@ -89,8 +89,20 @@ def within(one: str, two: str, edits: int) -> bool:
     return bool(levels[edits] >> (len(one) - len(two) + edits) & 1)
 
 
+def near(edits: int):
+    """Pairs of lines, of two lists or within one, within ``edits`` edits."""
+
+    def linked(one: list[str], two: list[str] | None):
+        for i, a in enumerate(one):
+            for j, b in enumerate(two if two is not None else one):
+                if (two is not None or i < j) and within(a, b, edits):
+                    yield i, j
+
+    return linked
+
+
 def _keys(batches, edits: int):
-    """(key, node, chars) of the eligible lines of texts."""
+    """(key, node, size) of the eligible lines of texts."""
     import pyarrow as pa
     import xxhash
 
@@ -115,7 +127,7 @@ def _keys(batches, edits: int):
                     keys += [key_of(line[a:b].encode(), seed) for a, b, seed in plan]
                     nodes += [node] * len(plan)
                     chars += [len(line)] * len(plan)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (keys, nodes)] + [pa.array(chars, pa.int32())], names=["key", "node", "chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (keys, nodes)] + [pa.array(chars, pa.int32())], names=["key", "node", "size"])
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -129,12 +141,23 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """``(doc, removed array<struct<pos, first_doc, first_pos>>)`` of the documents that lose lines."""
     ship(docs.sparkSession)
     texts = docs.select(text_or_empty(docs, text_column).alias("text"))
-    entries = texts.mapInArrow(lambda batches: _keys(batches, edits), "key long, node long, chars int")
+    entries = texts.mapInArrow(lambda batches: _keys(batches, edits), "key long, node long, size int")
     lines = _lines(docs, id_column, text_column)
 
+    pool: list[DataFrame] = []
+
+    def keep(nodes: DataFrame) -> None:
+        """The lines that share a key with another one, once each, so that no round reads the documents again."""
+        pool.append(settle(among(lines.select("node", "line"), "node", nodes).groupBy("node").agg(F.min("line").alias("line"))))
+
+    def texts(used: DataFrame) -> DataFrame:
+        return pool[0].join(used.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left_semi")
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        return compare_blocks(rows, lambda used: texts(used).withColumnRenamed("line", "payload"), str, near(edits))
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        used = settle(pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct())
-        found = lines.select("node", "line").join(used, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min("line").alias("line"))
+        found = texts(settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
         one, two = (found.select(F.col("node").alias(f"n{e}"), F.col("line").alias(f"line{e}")) for e in "ab")
         full = pairs.join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb"))
 
@@ -144,8 +167,8 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
         return map_columns(full, ["a", "b", "linea", "lineb"], "a long, b long", kernel)
 
-    labels = resolve(entries, confirm, fits=f"abs(chars_a - chars_b) <= {edits}")
-    slim = lines.select("doc", "pos", "node")
+    labels = resolve(entries, confirm, blocks, fits=f"abs(size_a - size_b) <= {edits}", candidates=keep)
+    slim = settle(lines.select("doc", "pos", "node"))
     if labels is None:
         slim = slim.withColumnRenamed("node", "class")
     else:
