@@ -88,6 +88,19 @@ def _forest(nodes: list, labels: list, pairs) -> list[tuple]:
     return out
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """Overlapping buckets as one, where that makes fewer pairs: a group of near copies fills a bucket in each band
+    with much the same members.  Buckets whose union would be larger than they are stay as they are."""
+    stars = rows.withColumn("b", F.col("node")).join(rows.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", "b")
+    unions = components(stars).toDF("n", "union")
+    placed = settle(rows.join(unions, F.col("node") == F.col("n")).drop("n"))
+    apart = placed.groupBy("union", "key").agg(F.count("*").cast("double").alias("m")).groupBy("union").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    whole = placed.select("union", "node").distinct().groupBy("union").agg(F.count("*").cast("double").alias("m"))
+    better = apart.join(whole, "union").filter(F.col("m") * F.col("m") <= F.col("apart")).select(F.col("union").alias("u"))
+    chosen = placed.join(better, F.col("union") == F.col("u"), "left")
+    return settle(chosen.select(F.when(F.col("u").isNull(), F.struct("key", F.lit(False).alias("merged"))).otherwise(F.struct(F.col("u").alias("key"), F.lit(True).alias("merged"))).alias("group"), "node", "label", "size").distinct().select(F.xxhash64("group.key", "group.merged").alias("key"), "node", "label", "size"))
+
+
 def compare_blocks(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame], prepare: Callable, linked: Callable) -> DataFrame:
     """Links (a, b) between members of different components in large buckets.
 
@@ -188,7 +201,7 @@ def resolve(entries: DataFrame, confirm: Callable[[DataFrame], DataFrame], block
         return labels
     large = settle(rows.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > PAIRWISE).select(F.col("key").alias("k")))
     if not large.isEmpty():
-        dense = settle(rows.join(large, F.col("key") == F.col("k"), "left_semi").select("key", "node", "label", "size"))
+        dense = _merged(settle(rows.join(large, F.col("key") == F.col("k"), "left_semi").select("key", "node", "label", "size")))
         labels = _relabel(labels, between(settle(blocks(dense))))
         rows = unsettled(labelled()).join(large, F.col("key") == F.col("k"), "left_anti")
     rest = member(rows, "_a").join(member(rows, "_b"), "key").filter("node_a < node_b AND label_a <> label_b").filter(fits)
