@@ -7,8 +7,9 @@ segment's number and its text; lines with a key in common are candidates, and
 are verified by a banded bit-parallel edit distance.  Linked lines form classes; of each class the
 first line, by document id and place, stays, and the others go.
 
-Lines are compared without white space at their ends; those of fewer than ``MIN_CHARS``
-characters are left alone.  Different lines have different 64-bit hashes for nodes, but for one in 10^8 even
+Lines are compared without white space at their ends; blank ones are left alone.  Lines of fewer than ``NEAR_CHARS``
+characters are linked to equal lines only, by their hash: two edits make other words of so short a line, and its
+segments are too short to tell lines apart.  Different lines have different 64-bit hashes for nodes, but for one in 10^8 even
 among 10^11 lines.
 
 Defined results: null and empty texts have no lines and stay as they are; a line of any length is compared
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .links import among, compare_blocks, resolve
 from .runtime import WORD, Memo, fresh, map_columns, settle, ship, slices, text_or_empty
 
-EDITS, MIN_CHARS = 2, 40
+EDITS, MIN_CHARS, NEAR_CHARS = 2, 1, 15
 SPACES = " \t\r\f\v"
 #: Lines a worker remembers, so as not to send a repeated line's keys again.
 RECENT = 100_000
@@ -102,7 +103,7 @@ def near(edits: int):
 
 
 def _keys(batches, edits: int):
-    """(key, node, size) of the eligible lines of texts."""
+    """(key, node, size) of the lines of texts that may have near ones."""
     import pyarrow as pa
     import xxhash
 
@@ -115,7 +116,7 @@ def _keys(batches, edits: int):
             for text in part.column(0).to_pylist():
                 for line in text.split("\n"):
                     line = line.strip(SPACES)
-                    if len(line) < MIN_CHARS:
+                    if len(line) < NEAR_CHARS:
                         continue
                     node = node_of(line.encode(), 42)
                     if node in recent:
