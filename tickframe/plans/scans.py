@@ -194,7 +194,7 @@ def f15_mutations(spark, sf_dir):
     """Twenty damaged versions of each file."""
     from ..functions import pcm
 
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.encode("text", "UTF-8").alias("content")).filter("doc_id % 50 = 0")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.encode("text", "UTF-8").alias("content"))
     return pcm.mutated(d, "content").select("doc_id", "mutation", F.md5("content").alias("md5"))
 
 
