@@ -7,7 +7,8 @@ That bounds what is sent to the workers: at most 1000 languages of 1 / COMMON wo
 
 A document is compared with each reference by Jensen-Shannon distance (square root of the divergence
 in bits, 0 to 1), in both histograms; the nearest language counts.  It is rejected when a
-distance is above its limit.  Guards: below ``MIN_WORDS`` words no distance is judged, and the limit for words
+distance is above its limit.  Documents of a language without a reference aren't judged by distances, as other
+languages' references say nothing about them: the base rules alone decide.  Guards: below ``MIN_WORDS`` words no distance is judged, and the limit for words
 is widened by the sampling noise of short texts.
 
 Base rules: too few words, or too many words in repeated 3-word windows.
@@ -204,6 +205,7 @@ _MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_
 
 
 def _measure(text: str, judge: Judge | None) -> tuple:
+    """``judge`` is None where the text's language has no reference."""
     words = words_of(text)
     n = len(words)
     repeated = repeated_words(words)
@@ -216,23 +218,25 @@ def _measure(text: str, judge: Judge | None) -> tuple:
     return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated, failed, kept, of_class, of_words
 
 
-def measure(docs: DataFrame, refs: list[tuple], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def measure(docs: DataFrame, refs: list[tuple], id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """All measures and both verdicts of every row; the distances are null where guards keep them from being judged."""
     key = pickle.dumps(refs)
+    known = {lang for lang, _, _ in refs}
 
-    def kernel(ids, texts):
+    def kernel(ids, langs, texts):
         judge = _judge(key) if refs else None
-        return [ids, *map(list, zip(*(_measure(text, judge) for text in texts)))]
+        return [ids, *map(list, zip(*(_measure(text, judge if lang in known else None) for lang, text in zip(langs, texts))))]
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_columns(docs, [docs[id_column], text_or_empty(docs, text_column).alias("text")], f"{id_column} {kind}, {_MEASURES}", kernel)
+    return map_columns(docs, [docs[id_column], docs[lang_column].cast("string").alias("lang"), text_or_empty(docs, text_column).alias("text")], f"{id_column} {kind}, {_MEASURES}", kernel)
 
 
 def keep_good(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns, judged where they lie: no join."""
     refs = references(docs, text_column, lang_column)
     key = pickle.dumps(refs)
-    (own,) = fresh(docs, "quality_text")
+    known = {lang for lang, _, _ in refs}
+    own_lang, own = fresh(docs, "quality_lang", "quality_text")
     names = docs.columns
 
     def run(batches):
@@ -241,10 +245,11 @@ def keep_good(docs: DataFrame, text_column: str = "text", lang_column: str = "la
         judge = _judge(key) if refs else None
         for batch in batches:
             for part in slices(batch):
-                good = [_measure(text, judge)[6] for text in part.column(part.num_columns - 1).to_pylist()]
+                langs, texts = (part.column(part.num_columns - i).to_pylist() for i in (2, 1))
+                good = [_measure(text, judge if lang in known else None)[6] for lang, text in zip(langs, texts)]
                 yield part.filter(pa.array(good, pa.bool_())).select(names)
 
-    return docs.withColumn(own, text_or_empty(docs, text_column)).mapInArrow(run, docs.schema)
+    return docs.withColumn(own_lang, F.col(lang_column).cast("string")).withColumn(own, text_or_empty(docs, text_column)).mapInArrow(run, docs.schema)
 
 
 def judge_documents(docs: DataFrame) -> DataFrame:
