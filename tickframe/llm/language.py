@@ -7,8 +7,8 @@ labelled texts; a text goes to the language of the centroid with the largest cos
 from it than nearly all labelled texts of that language are from theirs is ``rejected``.
 
 The labelled sample is bounded: about ``SAMPLE`` rows of each language, those with the
-smallest hashes of their ids, and at most ``SAMPLE_ROWS`` in all (the languages with the most rows first
-if there were more than fit).
+smallest hashes of their ids; where there are so many languages that this makes more than ``SAMPLE_ROWS``, those
+are shared among them, but no language gets fewer than ``LEAST``.  Every language is learned.
 
 Defined results: null text and text without letters is ``und`` with score 0; texts of any length are read
 whole, in blocks; rows with null lang are never learned from; without labelled rows all is ``und``; equal
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .runtime import map_columns, text_or_empty
 
 DIM, CENTROIDS, ROUNDS = 4096, 4, 12
-SAMPLE, SAMPLE_ROWS = 300, 3000
+SAMPLE, SAMPLE_ROWS, LEAST = 300, 3000, 20
 #: Share of a language's labelled texts that lie within its radius, and the slack added to it.
 WITHIN, SLACK = 0.995, 0.05
 UNKNOWN = "und"
@@ -73,12 +73,11 @@ class Model:
     def __init__(self, langs: list[str], rows: np.ndarray):
         """One label and one row of counts for each labelled text."""
         self.idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1
-        vectors = weigh(rows, self.idf)
         names = np.array(langs)
         self.langs = sorted(set(langs))
         centres, owner, self.radius = [], [], []
         for i, lang in enumerate(self.langs):
-            own = vectors[names == lang]
+            own = weigh(rows[names == lang].astype(np.float64), self.idf)
             found = cluster(own, CENTROIDS)
             centres.append(found)
             owner += [i] * len(found)
@@ -100,12 +99,12 @@ class Model:
 def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model | None:
     """Learn from the rows given that have a language."""
     rows = labelled.select(labelled[id_column].alias("id"), labelled[lang_column].cast("string").alias("lang"), text_or_empty(labelled, text_column).alias("text")).filter("lang IS NOT NULL")
-    most = SAMPLE_ROWS // SAMPLE
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not sizes:
         return None
-    # a hash below SAMPLE / n has about SAMPLE rows; nothing is sorted or gathered to find them
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, SAMPLE / r["n"]))])
+    each = min(SAMPLE, max(LEAST, SAMPLE_ROWS // len(sizes)))
+    # a hash below each / n has about ``each`` rows; nothing is sorted or gathered to find them
+    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, each / r["n"]))])
     unit = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.filter(F.coalesce(unit < share[F.col("lang")], F.lit(False)))
 
@@ -114,10 +113,10 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
         return [lang for lang, _ in out], [np.flatnonzero(c).tolist() for _, c in out], [c[np.flatnonzero(c)].astype(int).tolist() for _, c in out]
 
     sparse = map_columns(picked, ["lang", "text"], "lang string, cells array<int>, ns array<int>", kernel)
-    found = sorted(((r["lang"], r["cells"], r["ns"]) for r in sparse.limit(2 * SAMPLE_ROWS).collect()))
+    found = sorted(((r["lang"], r["cells"], r["ns"]) for r in sparse.limit(2 * max(SAMPLE_ROWS, each * len(sizes))).collect()))
     if not found:
         return None
-    table = np.zeros((len(found), DIM))
+    table = np.zeros((len(found), DIM), dtype=np.float32)
     for i, (_, cells, ns) in enumerate(found):
         table[i, cells] = ns
     return Model([lang for lang, _, _ in found], table)
