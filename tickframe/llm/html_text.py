@@ -3,8 +3,9 @@
 The standard library's streaming parser gives events; each block of text becomes a line,
 with the number of tags met since the line before.  A line's ratio is its characters over its tags;
 ratios are smoothed along the page with a Gaussian and split into two clusters by a threshold
-(two means); the upper one marks content.  The content region is then the innermost
-element that holds (nearly) all content text, and within it every line counts, short ones too.
+(two means); the upper one marks content.  The innermost element that holds nearly all content text is found;
+the content region is the article around it, else the main element around it, else the innermost element that holds all
+content text.  Within the region every line counts, short ones too.
 
 What is boilerplate by its own markup never counts: navigation, headers outside an article,
 footers, asides, forms, scripts, styles and the like, and elements whose class, id or role names
@@ -57,7 +58,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.open: list[tuple[str, int, bool]] = []  # name, number, boilerplate
         self.number = self.tags = self.dropped = 0
-        self.regions: set[int] = set()
+        self.regions: dict[int, str] = {}
         self.text: list[str] = []
 
     def flush(self) -> None:
@@ -83,7 +84,7 @@ class Lines(HTMLParser):
             return
         self.number += 1
         if tag in REGIONS:
-            self.regions.add(self.number)
+            self.regions[self.number] = tag
         inside = any(name == "article" for name, _, _ in self.open)
         bad = tag in DROPPED or (tag == "header" and not inside)
         if not bad and attrs and tag not in ("html", "body", "main"):
@@ -158,7 +159,7 @@ def extract(html: str) -> str:
         return ""
     ratios = smooth(np.array([len(text) / tags for text, tags, _ in lines]))
     content = ratios >= threshold(ratios) - 1e-9
-    # the innermost region that holds nearly all of the content cluster's text
+    # the innermost region that holds nearly all of the content cluster's text, then what is around it
     mass: dict[int, int] = {}
     total = 0
     for (text, _, path), is_content in zip(lines, content):
@@ -167,7 +168,10 @@ def extract(html: str) -> str:
             for n in path:
                 if n in parser.regions:
                     mass[n] = mass.get(n, 0) + len(text)
-    region = max((n for n, m in mass.items() if m >= COVER * total), default=None)
+    core = max((n for n, m in mass.items() if m >= COVER * total), default=None)
+    around = next((path[: path.index(core) + 1] for _, _, path in lines if core in path), ())
+    whole = (max((n for n in around if parser.regions.get(n) == name), default=None) for name in ("article", "main"))
+    region = next((n for n in whole if n is not None), max((n for n, m in mass.items() if m == total), default=None))
     return "\n".join(text for text, _, path in lines if region is None or region in path)
 
 
