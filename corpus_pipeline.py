@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickframe.llm import byte_bpe, line_dedup, mixing, near_dups, quality
 from tickframe.llm.queries import BYTE_RANKS, MOST, WEIGHTS, tokenizer
-from tickframe.llm.runtime import fresh, settle
+from tickframe.llm.runtime import fresh, settle, text_or_empty
 
 #: Shared share of five-word shingles, in percent, from which documents are near duplicates.
 SIMILAR = 80
@@ -35,8 +35,26 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class; one of several rows with that id."""
+    """Keeps the document with the smallest id of each class; one of several rows with that id.
+
+    Rows without id are linked through equal sets only: of those with equal sets one stays, if no row with an id has that set."""
     found = settle(near_dups.classes(docs, percent=SIMILAR))
+    if not found.filter("doc_id IS NULL").isEmpty():
+        numbered = docs.filter("doc_id IS NOT NULL")
+        return _one_of_each(numbered, found.filter("doc_id IS NOT NULL")).unionByName(_without_id(docs.filter("doc_id IS NULL"), numbered))
+    return _one_of_each(docs, found)
+
+
+def _without_id(lone: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Rows without id, one of each set that no numbered row has; all of those without words."""
+    key, text = fresh(lone, "set_key", "set_text")
+    own = near_dups.with_set(lone.withColumn(text, text_or_empty(lone)), text, key)
+    others = near_dups.with_set(numbered.select(text_or_empty(numbered).alias(text)), text, key).select(F.col(key).alias("other_set")).filter("other_set IS NOT NULL").distinct()
+    first = own.filter(F.col(key).isNotNull()).join(others, F.col(key) == F.col("other_set"), "left_anti").dropDuplicates([key])
+    return first.unionByName(own.filter(F.col(key).isNull())).drop(key, text)
+
+
+def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept = _having(docs, found.filter("kept"))
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     # rows that share an id are rare: only then are the documents dealt by id to keep one of each

@@ -13,7 +13,8 @@ segments are too short to tell lines apart.  Different lines have different 64-b
 among 10^11 lines.
 
 Defined results: null and empty texts have no lines and stay as they are; a line of any length is compared
-whole; rows that share an id are one document, and null sorts first among ids; a document left without words
+whole; rows that share an id are one document, rows
+without id only if their texts are equal, and null sorts first among ids; a document left without words
 by removals is dropped by ``dedup``; documents without removals are returned unchanged.
 """
 
@@ -131,15 +132,20 @@ def _keys(batches, edits: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (keys, nodes)] + [pa.array(chars, pa.int32())], names=["key", "node", "size"])
 
 
+def _own(docs: DataFrame, id_column: str, text_column: str) -> Column:
+    """What tells rows without id apart: the hash of their text; null for rows with one."""
+    return F.when(docs[id_column].isNull(), F.xxhash64(text_or_empty(docs, text_column)))
+
+
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(doc, pos, line, node)`` of the eligible lines; ``node`` is the hash that ``_keys`` gives."""
+    """``(doc, own, pos, line, node)`` of the eligible lines; ``node`` is the hash that ``_keys`` gives."""
     split = F.split(text_or_empty(docs, text_column), "\n")
-    lines = docs.select(docs[id_column].alias("doc"), F.posexplode(split).alias("pos", "raw"))
-    return lines.select("doc", "pos", F.btrim("raw", F.lit(SPACES)).alias("line")).filter(F.length("line") >= MIN_CHARS).withColumn("node", F.xxhash64("line"))
+    lines = docs.select(docs[id_column].alias("doc"), _own(docs, id_column, text_column).alias("own"), F.posexplode(split).alias("pos", "raw"))
+    return lines.select("doc", "own", "pos", F.btrim("raw", F.lit(SPACES)).alias("line")).filter(F.length("line") >= MIN_CHARS).withColumn("node", F.xxhash64("line"))
 
 
 def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS) -> DataFrame:
-    """``(doc, removed array<struct<pos, first_doc, first_pos>>)`` of the documents that lose lines."""
+    """``(doc, own, removed array<struct<pos, first_doc, first_pos>>)`` of the documents that lose lines."""
     ship(docs.sparkSession)
     texts = docs.select(text_or_empty(docs, text_column).alias("text"))
     entries = texts.mapInArrow(lambda batches: _keys(batches, edits), "key long, node long, size int")
@@ -169,14 +175,14 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         return map_columns(full, ["a", "b", "linea", "lineb"], "a long, b long", kernel)
 
     labels = resolve(entries, confirm, blocks, fits=f"abs(size_a - size_b) <= {edits}", candidates=keep)
-    slim = settle(lines.select("doc", "pos", "node"))
+    slim = settle(lines.select("doc", "own", "pos", "node"))
     if labels is None:
         slim = slim.withColumnRenamed("node", "class")
     else:
-        slim = slim.join(labels.select(F.col("node").alias("n"), "label"), F.col("node") == F.col("n"), "left").select("doc", "pos", F.coalesce("label", "node").alias("class"))
-    firsts = settle(slim.groupBy("class").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", "pos")).alias("last")).filter("first <> last").select(F.col("class").alias("c"), "first"))
-    gone = slim.join(firsts, F.col("class") == F.col("c")).filter(F.struct("doc", "pos") != F.col("first"))
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")))).alias("removed"))
+        slim = slim.join(labels.select(F.col("node").alias("n"), "label"), F.col("node") == F.col("n"), "left").select("doc", "own", "pos", F.coalesce("label", "node").alias("class"))
+    firsts = settle(slim.groupBy("class").agg(F.min(F.struct("doc", "own", "pos")).alias("first"), F.max(F.struct("doc", "own", "pos")).alias("last")).filter("NOT first <=> last").select(F.col("class").alias("c"), "first"))
+    gone = slim.join(firsts, F.col("class") == F.col("c")).filter(~F.struct("doc", "own", "pos").eqNullSafe(F.col("first")))
+    return gone.groupBy("doc", "own").agg(F.sort_array(F.collect_set(F.struct("pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")))).alias("removed"))
 
 
 def _without(text: Column, removed: Column) -> Column:
@@ -186,9 +192,9 @@ def _without(text: Column, removed: Column) -> Column:
 
 
 def _joined(docs: DataFrame, id_column: str, text_column: str, edits: int) -> tuple[DataFrame, str, str]:
-    r, d, t = fresh(docs, "line_removed", "line_doc", "line_text")
-    cut = settle(removals(docs, id_column, text_column, edits)).select(F.col("doc").alias(d), F.col("removed").alias(r))
-    joined = docs.join(cut, docs[id_column].eqNullSafe(F.col(d)), "left").drop(d)
+    r, d, o, t = fresh(docs, "line_removed", "line_doc", "line_own", "line_text")
+    cut = settle(removals(docs, id_column, text_column, edits)).select(F.col("doc").alias(d), F.col("own").alias(o), F.col("removed").alias(r))
+    joined = docs.join(cut, docs[id_column].eqNullSafe(F.col(d)) & _own(docs, id_column, text_column).eqNullSafe(F.col(o)), "left").drop(d, o)
     return joined.withColumn(t, F.when(F.col(r).isNotNull(), _without(F.col(text_column), F.col(r))).otherwise(F.col(text_column))), r, t
 
 

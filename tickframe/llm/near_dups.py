@@ -26,9 +26,10 @@ import functools
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .links import among, compare_blocks, resolve
-from .runtime import Memo, map_columns, settle, text_or_empty
+from .runtime import Memo, map_columns, settle, ship, slices, text_or_empty
 
 WORDS, REGISTERS, BASE, TOP, MISS = 5, 125, 1.1, 255, 1e-6
 BLOCK, COLUMNS = 4096, 4096
@@ -122,6 +123,24 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return map_columns(docs, [docs[id_column], text_or_empty(docs, text_column).alias("text")], f"{id_column} {kind}, n_shingles long, same binary, registers binary", kernel)
 
 
+def with_set(rows: DataFrame, text_column: str, key: str) -> DataFrame:
+    """``rows`` and a column that is equal for equal sets, null for empty ones."""
+    ship(rows.sparkSession)
+    at = rows.columns.index(text_column)
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingles(text) for text in part.column(at).to_pylist()]
+                same = [xxhash.xxh3_128_digest(s.astype("<u8").tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(same, pa.binary())], names=[*part.schema.names, key])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(key, T.BinaryType())]))
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose estimated similarity may belong to one at the threshold."""
     slack = 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
