@@ -20,12 +20,14 @@ by removals is dropped by ``dedup``; documents without removals are returned unc
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .links import among, compare_blocks, resolve
-from .runtime import WORD, Memo, fresh, map_columns, settle, ship, slices, text_or_empty
+from .links import SMALL, among, resolve
+from .runtime import WORD, drop, fresh, keep, map_columns, ship, slices, text_or_empty
 
 EDITS, MIN_CHARS, NEAR_CHARS = 2, 1, 15
 SPACES = " \t\r\f\v"
@@ -46,15 +48,39 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
 
 def probes(length: int, edits: int) -> list[tuple[int, int, int, int]]:
     """(partner's length, segment number, start, end) of all substrings to look up."""
-    out = []
-    for other in range(max(1, length - edits), length + 1):
-        shift = length - other
-        for i, (start, size) in enumerate(segments(other, edits)):
+    return [(int(o[0]), i, int(a[0]), int(b[0])) for _, o, i, a, b in _plans(np.array([length]), edits)]
+
+
+def _plans(lengths: np.ndarray, edits: int):
+    """Yields (rows, partner's length, segment number, start, end) of the substrings to look up, as arrays, for lines of these lengths."""
+    for shift in range(edits + 1):
+        other = lengths - shift
+        size, longer = np.divmod(other, edits + 1)
+        start = np.zeros_like(lengths)
+        for i in range(edits + 1):
+            own = size + (i > edits - longer)
             # at most i edits before the segment, or at most edits - i after it
-            low = max(0, start - i, start + shift - (edits - i))
-            high = min(length - size, start + i, start + shift + (edits - i))
-            out += [(other, i, at, at + size) for at in range(low, high + 1)]
-    return out
+            low = np.maximum(start - min(i, edits - i - shift), 0)
+            high = np.minimum(start + min(i, edits - i + shift), lengths - own)
+            for step in range(2 * edits + 1):
+                rows = np.flatnonzero((low + step <= high) & (other > 0))
+                if len(rows):
+                    at = low[rows] + step
+                    yield rows, other[rows], i, at, at + own[rows]
+            start = start + own
+
+
+def _common_start(one: str, two: str) -> int:
+    """How many first characters two lines share: blocks of growing size are compared as a whole."""
+    at, step, most = 0, 32, min(len(one), len(two))
+    while at < most:
+        if one[at : at + step] == two[at : at + step]:
+            at, step = at + step, step * 2
+        elif step == 1:
+            return at
+        else:
+            step = max(1, step // 4)
+    return most
 
 
 def within(one: str, two: str, edits: int) -> bool:
@@ -63,17 +89,10 @@ def within(one: str, two: str, edits: int) -> bool:
     Along the text, bit k of level e says that the diagonal k - edits can be reached with e edits."""
     if abs(len(one) - len(two)) > edits:
         return False
-    start = 0
-    for a, b in zip(one, two):
-        if a != b:
-            break
-        start += 1
-    end = 0
-    for a, b in zip(reversed(one[start:]), reversed(two[start:])):
-        if a != b:
-            break
-        end += 1
-    one, two = one[start : len(one) - end], two[start : len(two) - end]
+    start = _common_start(one, two)
+    one, two = one[start:][::-1], two[start:][::-1]
+    end = _common_start(one, two)
+    one, two = one[end:][::-1], two[end:][::-1]
     places: dict[str, int] = {}
     for i, c in enumerate(one):
         places[c] = places.get(c, 0) | 1 << (i + edits)
@@ -91,29 +110,101 @@ def within(one: str, two: str, edits: int) -> bool:
     return bool(levels[edits] >> (len(one) - len(two) + edits) & 1)
 
 
+#: Character cells of the filter before lines of two blocks are compared, and rows compared at once.
+CELLS, STRIP = 64, 64
+
+
 def near(edits: int):
-    """Pairs of lines, of two lists or within one, within ``edits`` edits."""
+    """Pairs of lines, of two lists or within one, within ``edits`` edits.
+
+    An edit changes the counts of characters (in CELLS cells) by two at most, so pairs whose counts differ by more than 2 * edits
+    aren't compared further."""
+
+    def cells(lines: list[str]) -> np.ndarray:
+        out = np.zeros((len(lines), CELLS), dtype=np.int32)
+        for row, line in zip(out, lines):
+            codes = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32)
+            row += np.bincount((codes * np.uint32(2654435761)) >> np.uint32(26), minlength=CELLS).astype(np.int32)
+        return out
 
     def linked(one: list[str], two: list[str] | None):
-        for i, a in enumerate(one):
-            for j, b in enumerate(two if two is not None else one):
-                if (two is not None or i < j) and within(a, b, edits):
+        ones = cells(one)
+        other, twos = (one, ones) if two is None else (two, cells(two))
+        for first in range(0, len(one), STRIP):
+            far = np.abs(ones[first : first + STRIP, None, :] - twos[None, :, :]).sum(axis=2)
+            for i, j in zip(*(x.tolist() for x in np.nonzero(far <= 2 * edits))):
+                i += first
+                if (two is not None or i < j) and within(one[i], other[j], edits):
                     yield i, j
 
     return linked
 
 
+#: An odd factor, its inverse modulo 2**64, and a mixing factor.
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE, _MIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), np.uint64(0xBF58476D1CE4E5B9)
+#: Characters hashed at once; a longer line is alone.
+RUN = 1 << 20
+
+
+@functools.lru_cache(maxsize=1)
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(count, f), dtype=np.uint64)]) for f in (_FACTOR, _INVERSE))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def keys_of(lines: list[str], edits: int):
+    """(row, key, whether it is the line's own segment) of all substrings that ``_plans`` names, as arrays.
+
+    Substrings are hashed as polynomials over mixed characters, by differences of one running sum; different ones with
+    one key only make further candidates."""
+    lengths = np.array([len(line) for line in lines], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    power, inverse = _powers(max(RUN, 1 << (len(codes) - 1).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed((codes + np.uint64(1)) * _FACTOR) * power[: len(codes)], dtype=np.uint64)])
+    out = []
+    for rows, other, i, a, b in _plans(lengths, edits):
+        a, b = a + starts[rows], b + starts[rows]
+        part = (sums[b] - sums[a]) * inverse[a]
+        seed = (other.astype(np.uint64) << np.uint64(8) | np.uint64(i)) * _MIX
+        own = (other == lengths[rows]) & (a - starts[rows] == _starts(other, i, edits))
+        out.append((rows, _mixed(part + _mixed(seed)), own))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _starts(lengths: np.ndarray, i: int, edits: int) -> np.ndarray:
+    size, longer = np.divmod(lengths, edits + 1)
+    return i * size + np.maximum(0, i - (edits + 1 - longer))
+
+
+def _runs(lines: list[str]):
+    """Lines in lists of RUN characters at most, or one line."""
+    run, chars = [], 0
+    for line in lines:
+        if run and chars + len(line) > RUN:
+            yield run
+            run, chars = [], 0
+        run.append(line)
+        chars += len(line)
+    if run:
+        yield run
+
+
 def _keys(batches, edits: int):
-    """(key, node, size) of the lines of texts that may have near ones."""
+    """(key, node, size, own) of the lines of texts that may have near ones."""
     import pyarrow as pa
     import xxhash
 
-    plans = Memo(lambda length: [(a, b, other << 8 | i) for other, i, a, b in probes(length[0], edits)], 20_000, 1)
     recent: set[int] = set()
-    key_of, node_of = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
+    node_of = xxhash.xxh64_intdigest
     for batch in batches:
         for part in slices(batch):
-            keys, nodes, chars = [], [], []
+            lines, nodes = [], []
             for text in part.column(0).to_pylist():
                 for line in text.split("\n"):
                     line = line.strip(SPACES)
@@ -125,11 +216,15 @@ def _keys(batches, edits: int):
                     if len(recent) >= RECENT:
                         recent.clear()
                     recent.add(node)
-                    plan = plans[(len(line),)]
-                    keys += [key_of(line[a:b].encode(), seed) for a, b, seed in plan]
-                    nodes += [node] * len(plan)
-                    chars += [len(line)] * len(plan)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (keys, nodes)] + [pa.array(chars, pa.int32())], names=["key", "node", "size"])
+                    lines.append(line)
+                    nodes.append(node)
+            done = 0
+            for run in _runs(lines):
+                rows, keys, own = keys_of(run, edits)
+                node = np.array(nodes[done : done + len(run)], dtype=np.uint64).view(np.int64)[rows]
+                size = np.array([len(line) for line in run], dtype=np.int32)[rows]
+                done += len(run)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node), pa.array(size), pa.array(own)], names=["key", "node", "size", "own"])
 
 
 def _own(docs: DataFrame, id_column: str, text_column: str) -> Column:
@@ -148,24 +243,18 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """``(doc, own, removed array<struct<pos, first_doc, first_pos>>)`` of the documents that lose lines."""
     ship(docs.sparkSession)
     texts = docs.select(text_or_empty(docs, text_column).alias("text"))
-    entries = texts.mapInArrow(lambda batches: _keys(batches, edits), "key long, node long, size int")
+    entries = texts.mapInArrow(lambda batches: _keys(batches, edits), "key long, node long, size int, own boolean")
     lines = _lines(docs, id_column, text_column)
 
-    pool: list[DataFrame] = []
-
-    def keep(nodes: DataFrame) -> None:
-        """The lines that share a key with another one, once each, so that no round reads the documents again."""
-        pool.append(settle(among(lines.select("node", "line"), "node", nodes).groupBy("node").agg(F.min("line").alias("line"))))
+    def payloads(used: DataFrame) -> DataFrame:
+        """The lines that share a key with another one, once each, so that no step reads the documents again."""
+        wanted = keep(used)
+        found = keep(among(lines.select("node", F.col("line").alias("payload")), "node", wanted).distinct())
+        drop(wanted)
+        return found
 
-    def texts(used: DataFrame) -> DataFrame:
-        return pool[0].join(used.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left_semi")
-
-    def blocks(rows: DataFrame) -> DataFrame:
-        return compare_blocks(rows, lambda used: texts(used).withColumnRenamed("line", "payload"), str, near(edits))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        found = texts(settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
-        one, two = (found.select(F.col("node").alias(f"n{e}"), F.col("line").alias(f"line{e}")) for e in "ab")
+    def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        one, two = (texts.select(F.col("node").alias(f"n{e}"), F.col("payload").alias(f"line{e}")) for e in "ab")
         full = pairs.join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb"))
 
         def kernel(a, b, la, lb):
@@ -174,15 +263,19 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
         return map_columns(full, ["a", "b", "linea", "lineb"], "a long, b long", kernel)
 
-    labels = resolve(entries, confirm, blocks, fits=f"abs(size_a - size_b) <= {edits}", candidates=keep)
-    slim = settle(lines.select("doc", "own", "pos", "node"))
-    if labels is None:
-        slim = slim.withColumnRenamed("node", "class")
-    else:
-        slim = slim.join(labels.select(F.col("node").alias("n"), "label"), F.col("node") == F.col("n"), "left").select("doc", "own", "pos", F.coalesce("label", "node").alias("class"))
-    firsts = settle(slim.groupBy("class").agg(F.min(F.struct("doc", "own", "pos")).alias("first"), F.max(F.struct("doc", "own", "pos")).alias("last")).filter("NOT first <=> last").select(F.col("class").alias("c"), "first"))
-    gone = slim.join(firsts, F.col("class") == F.col("c")).filter(~F.struct("doc", "own", "pos").eqNullSafe(F.col("first")))
-    return gone.groupBy("doc", "own").agg(F.sort_array(F.collect_set(F.struct("pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")))).alias("removed"))
+    labels = resolve(entries, payloads, confirm, str, near(edits), counts="own", fits=f"(own_a OR own_b) AND abs(size_a - size_b) <= {edits}")
+    # equal lines are those with equal hashes of both kinds; what is linked to another line has its class's label instead
+    slim = keep(lines.select("doc", "own", "pos", "node", F.hash("line").alias("check")))
+    placed = slim
+    if labels is not None:
+        named = labels.select(F.col("node").alias("n"), "label")
+        placed = slim.join(F.broadcast(named) if named.count() <= SMALL else named, F.col("node") == F.col("n"), "left").select("doc", "own", "pos", F.coalesce("label", "node").alias("node"), F.when(F.col("label").isNull(), F.col("check")).alias("check"))
+    place = F.struct("doc", "own", "pos")
+    firsts = keep(placed.groupBy("node", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("NOT first <=> last").select(F.col("node").alias("c"), F.col("check").alias("k"), "first"))
+    gone = placed.join(firsts, (F.col("node") == F.col("c")) & F.col("check").eqNullSafe(F.col("k"))).filter(~place.eqNullSafe(F.col("first")))
+    out = keep(gone.groupBy("doc", "own").agg(F.sort_array(F.collect_set(F.struct("pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")))).alias("removed")))
+    drop(slim, firsts, *([labels] if labels is not None else []))
+    return out
 
 
 def _without(text: Column, removed: Column) -> Column:
@@ -193,7 +286,7 @@ def _without(text: Column, removed: Column) -> Column:
 
 def _joined(docs: DataFrame, id_column: str, text_column: str, edits: int) -> tuple[DataFrame, str, str]:
     r, d, o, t = fresh(docs, "line_removed", "line_doc", "line_own", "line_text")
-    cut = settle(removals(docs, id_column, text_column, edits)).select(F.col("doc").alias(d), F.col("own").alias(o), F.col("removed").alias(r))
+    cut = removals(docs, id_column, text_column, edits).select(F.col("doc").alias(d), F.col("own").alias(o), F.col("removed").alias(r))
     joined = docs.join(cut, docs[id_column].eqNullSafe(F.col(d)) & _own(docs, id_column, text_column).eqNullSafe(F.col(o)), "left").drop(d, o)
     return joined.withColumn(t, F.when(F.col(r).isNotNull(), _without(F.col(text_column), F.col(r))).otherwise(F.col(text_column))), r, t
 

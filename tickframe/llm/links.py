@@ -1,33 +1,40 @@
 """Connected components of a link graph that is known only through buckets of candidates.
 
 Two nodes are linked if they share a bucket and a check confirms them.  Components of all
-such links are found without listing the pairs of a bucket:
-
-1. For a few rounds each bucket that still spans several components names one member at random as its
-   centre, and only pairs of the centre with members of other components are checked.
-   Members of a group of near copies merge after a round or two, and a bucket all of whose
-   members are in one component is done.
-2. What is left is settled exactly.  In buckets of up to ``PAIRWISE`` members every pair of members of different
-   components is checked, which is at most PAIRWISE / 2 pairs a member.  Larger buckets, as
-   groups just below the threshold make them, are cut into blocks of bounded size, and each pair of blocks is
-   compared as a whole where it lies: only links come out, no more than a spanning forest of the two blocks' components.
+such links are found without listing the pairs of a bucket, in a fixed number of steps:
+
+1. Each bucket names its most central member, the one that shares the most buckets with the most
+   others, and the centre is checked against all other members.  A group of copies around
+   one text merges at once, since its text is the centre of all its buckets; a bucket of two is settled.
+2. In buckets of up to ``PAIRWISE`` members that still span several components every pair of members of different
+   components is checked, which is at most PAIRWISE / 2 pairs a member.
+3. Larger ones get step 1 again with other centres, ``ROUNDS`` times in all.  What is left, as groups just below the
+   threshold leave it, is cut into blocks of bounded size, and pairs of blocks are
+   compared as a whole where they lie: only links come out, no more than a spanning forest of the two blocks' components.
+   Members of the component that is most common in a group are compared with the others only.
+4. Components of all links are computed once, over what the rounds haven't merged.
 
 So no link between components is lost, a group of n copies costs about n checks, and no group's pairs are written
-out.  Buckets are never gathered: they are sums by key and joins on the key, whose skew Spark splits.
+out.  Buckets are never gathered: they are sums by key and joins on the key, whose skew Spark splits.  In a group of
+n members that lie just below the threshold each member's payload is sent to n / BLOCK_MEMBERS tasks.
+
+Tables between the steps are written to the shared folder and deleted when they are used up.  Steps, not rows, are
+what costs the driver memory (each leaves records of its plan, stages and tasks), so there are few of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import settle, slices
+from .runtime import drop, keep, slices
 
-ROUNDS, SMALL, PAIRWISE = 3, 1_000_000, 64
+ROUNDS, SMALL, PAIRWISE = 3, 500_000, 64
 #: Members of a block on average, and the sum of their sizes.
-BLOCK_MEMBERS, BLOCK_SIZE = 384, 1_500_000
+BLOCK_MEMBERS, BLOCK_SIZE = 768, 1_500_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,38 +42,60 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels sink along links and each node also takes its label's label, so a component of
     diameter d needs about log d rounds.  Each round is written to the shared folder."""
-    both = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
+    both = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node").withColumn("was", F.col("node")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("seen"))
-        sunk = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("seen", "label")).alias("label"))
+        own = labels.select("node", "label")
+        near = both.join(own, both["b"] == own["node"]).groupBy("a").agg(F.min("label").alias("seen"))
+        sunk = own.join(near, own["node"] == near["a"], "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("seen", "label")).alias("label"))
         up = labels.select(F.col("node").alias("n"), F.col("label").alias("above"))
-        jumped = settle(sunk.join(up, sunk["label"] == up["n"], "left").select("node", "was", F.least("label", F.coalesce("above", "label")).alias("label")))
-        changed = not jumped.filter("was <> label").isEmpty()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels
+        jumped = keep(sunk.join(up, sunk["label"] == up["n"], "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "was"))
+        drop(labels)
+        labels = jumped
+        if labels.filter("was <> label").isEmpty():
+            drop(both)
+            return labels.select("node", "label")
 
 
-def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """Labels after adding links between labels (or nodes, at first)."""
-    if links.isEmpty():
-        return labels
-    merged = components(links)
+def _mapped(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Links between the labels of their ends, without those inside a component."""
+    if labels is None:
+        return links.select("a", "b")
+    one, two = (labels.select(F.col("node").alias(n), F.col("label").alias(x)) for n, x in (("na", "la"), ("nb", "lb")))
+    return links.join(one, F.col("a") == F.col("na"), "left").join(two, F.col("b") == F.col("nb"), "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b")
+
+
+def _relabel(labels: DataFrame | None, to: DataFrame) -> DataFrame:
+    """Labels after those of ``to`` (node, label) have moved."""
     if labels is None:
-        return merged
-    step = merged.select(F.col("node").alias("n"), F.col("label").alias("to"))
+        return keep(to.select("node", "label"))
+    step = to.select(F.col("node").alias("n"), F.col("label").alias("to"))
     moved = labels.join(step, labels["label"] == step["n"], "left").select("node", F.coalesce("to", "label").alias("label"))
-    fresh = merged.join(labels.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
-    return settle(moved.unionByName(fresh))
+    fresh = to.select("node", "label").join(labels.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
+    return keep(moved.unionByName(fresh))
+
+
+def _hooked(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels after each component has joined the smallest one at most two links away: that merges stars whole.
+    Longer chains merge in part, which costs further checks but loses nothing: links are kept until the end."""
+    found = _mapped(links, labels)
+    both = keep(found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if both.isEmpty():
+        return labels
+    once = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")).withColumnRenamed("a", "n")
+    twice = both.join(once, F.col("b") == F.col("n")).groupBy("a").agg(F.least(F.min("low"), F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
+    new = _relabel(labels, twice)
+    drop(both, *([labels] if labels is not None else []))
+    return new
 
 
-def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows whose ``column`` is in ``keys`` (one column, distinct, settled).  The keys are counted: up to SMALL of
-    them, 16 bytes each, are broadcast, so that ``df`` isn't dealt out; beyond, both sides are dealt by key."""
-    few = keys.limit(SMALL + 1).count() <= SMALL
-    own = keys.toDF("among_key")
-    return df.join(F.broadcast(own) if few else own, F.col(column) == F.col("among_key"), "left_semi")
+def among(df: DataFrame, column: str, keys: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose ``column`` is in the first column of ``keys`` (distinct, kept), with its columns ``more``.  The keys are counted:
+    up to SMALL of them, a few longs each, are broadcast, so that ``df`` isn't dealt out; beyond, both sides are dealt by key."""
+    few = keys.count() <= SMALL
+    own = keys.select(F.col(keys.columns[0]).alias("among_key"), *more)
+    found = df.join(F.broadcast(own) if few else own, F.col(column) == F.col("among_key"), "inner" if more else "left_semi")
+    return found.drop("among_key")
 
 
 def _forest(nodes: list, labels: list, pairs) -> list[tuple]:
@@ -88,31 +117,32 @@ def _forest(nodes: list, labels: list, pairs) -> list[tuple]:
     return out
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    """Overlapping buckets as one, where that makes fewer pairs: a group of near copies fills a bucket in each band
-    with much the same members.  Buckets whose union would be larger than they are stay as they are."""
-    stars = rows.withColumn("b", F.col("node")).join(rows.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", "b")
-    unions = components(stars).toDF("n", "union")
-    placed = settle(rows.join(unions, F.col("node") == F.col("n")).drop("n"))
-    apart = placed.groupBy("union", "key").agg(F.count("*").cast("double").alias("m")).groupBy("union").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
-    whole = placed.select("union", "node").distinct().groupBy("union").agg(F.count("*").cast("double").alias("m"))
-    better = apart.join(whole, "union").filter(F.col("m") * F.col("m") <= F.col("apart")).select(F.col("union").alias("u"))
-    chosen = placed.join(better, F.col("union") == F.col("u"), "left")
-    return settle(chosen.select(F.when(F.col("u").isNull(), F.struct("key", F.lit(False).alias("merged"))).otherwise(F.struct(F.col("u").alias("key"), F.lit(True).alias("merged"))).alias("group"), "node", "label", "size").distinct().select(F.xxhash64("group.key", "group.merged").alias("key"), "node", "label", "size"))
+def _groups(rows: DataFrame) -> DataFrame:
+    """``(key, node, label, size)`` of large buckets (key, node, label, size, centre), those with the same centre as one group where
+    that makes fewer pairs: a group of near copies fills a bucket in each band with much the same members."""
+    apart = rows.groupBy("centre", "key").agg(F.count("*").cast("double").alias("m")).groupBy("centre").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    whole = rows.select("centre", "node").distinct().groupBy("centre").agg(F.count("*").cast("double").alias("m"))
+    better = keep(apart.join(whole, "centre").filter(F.col("m") * F.col("m") <= F.col("apart")).select(F.col("centre").alias("u")))
+    named = rows.join(better, F.col("centre") == F.col("u"), "left").withColumn("key", F.when(F.col("u").isNull(), F.xxhash64("key", F.lit(0))).otherwise(F.xxhash64("u", F.lit(1))))
+    return keep(named.select("key", "node", "label", "size").distinct())
 
 
-def compare_blocks(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame], prepare: Callable, linked: Callable) -> DataFrame:
-    """Links (a, b) between members of different components in large buckets.
+def compare_blocks(rows: DataFrame, pool: DataFrame, prepare: Callable, linked: Callable) -> DataFrame:
+    """Links (a, b) between members of different components in large groups.
 
-    ``rows``: (key, node, label, size).  ``payloads`` gives (node, payload) of the nodes it is asked for, ``prepare`` makes
+    ``rows``: (key, node, label, size).  ``pool`` has (node, payload), ``prepare`` makes
     an object of a payload in a worker, and ``linked`` takes two lists of those (the same list twice: each pair within)
     and yields the positions of linked pairs."""
-    sums = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum("size").alias("sizes"))
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("sizes") / BLOCK_SIZE)).cast("int")
-    dealt = rows.join(sums.select(F.col("key").alias("k"), blocks.alias("n_blocks")), F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("n_blocks")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    sums = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("size").alias("s")).groupBy("key").agg(F.max(F.struct("m", "label", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    blocks = lambda m, s: F.ceil(F.greatest(m / BLOCK_MEMBERS, s / BLOCK_SIZE)).cast("int")
+    parts = sums.select(F.col("key").alias("k"), F.col("top.label").alias("common"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("others"), blocks(F.col("top.m"), F.col("top.s")).alias("commons"))
+    # blocks of the others come first; those of the most common component follow and meet the others' only
+    is_common, salt = F.col("label") == F.col("common"), F.xxhash64("node", F.lit("block"))
+    own = F.when(is_common, F.col("others") + F.pmod(salt, F.col("commons"))).otherwise(F.pmod(salt, F.greatest(F.col("others"), F.lit(1)))).cast("int")
+    dealt = rows.join(parts, F.col("key") == F.col("k")).filter("others > 0").withColumn("own", own)
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_common, F.col("others")).otherwise(F.col("others") + F.col("commons")) - 1)))
     spread = spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label")
-    full = spread.join(payloads(settle(rows.select("node").distinct())).withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("key", "low", "high", "own", "node", "label", "payload")
+    full = spread.join(pool.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("key", "low", "high", "own", "node", "label", "payload")
     sorted_ = full.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def group_links(group, members):
@@ -147,62 +177,79 @@ def compare_blocks(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
-def resolve(entries: DataFrame, confirm: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame], fits: str = "true", candidates: Callable[[DataFrame], None] | None = None) -> DataFrame | None:
-    """``(node, label)`` of all nodes that have a link, or None if there is no link.
-
-    ``entries``: (key, node) and columns for ``fits``, a condition on a pair that any link meets
-    (columns of its two members end in _a and _b); one of the columns is ``size``.  Repeated entries are allowed.  ``confirm``
-    takes pairs (a, b), a < b, distinct, and returns those that are links; ``blocks`` takes (key, node, label, size) of large
-    buckets and returns links (a, b), as ``compare_blocks`` does.  ``candidates`` is told first which nodes
-    either may be asked about."""
-    spread = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select(F.col("key").alias("k"))
-    spread = settle(spread)
-    shared = settle(among(entries, "key", spread).distinct())
-    if candidates:
-        candidates(settle(shared.select("node").distinct()))
+def resolve(entries: DataFrame, payloads: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame, DataFrame], DataFrame], prepare: Callable, linked: Callable, counts: str = "true", fits: str = "true", known: DataFrame | None = None) -> DataFrame | None:
+    """``(node, label)`` of all nodes that have a link, or None if there is no link; labels are the components' smallest nodes.
+
+    ``entries``: (key, node, size) and flags for ``fits``, a condition on a pair that any link meets (columns of its two members end
+    in _a and _b).  Repeated entries are allowed; a flag is set if one of them has it.  A bucket without an entry that meets ``counts`` has no links.  ``payloads`` gives (node, payload)
+    of the nodes it is asked for; ``confirm`` takes pairs (a, b), a < b, distinct, and that table, and returns those that are
+    links; ``prepare`` and ``linked`` do the same for whole blocks, as in ``compare_blocks``.  ``known``: links (a, b) that need no check."""
+    extra = [c for c in entries.columns if c not in ("key", "node")]
+    keys = keep(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.expr(counts)).alias("counted"), F.count("*").alias("members")).filter("low < high AND counted").select("key", "members"))
+    flags = [c for c in extra if c != "size"]
+    found = among(entries, "key", keys, ("members",)).groupBy("key", "node", "size", "members")
+    shared = keep(found.agg(*(F.max(c).alias(c) for c in flags)) if flags else found.agg(F.lit(0).alias("_")).drop("_"))
+    drop(keys)
+    central = keep(shared.groupBy("node").agg(F.sum("members").alias("weight")))
+    pool = payloads(central.select("node"))
+    rows = keep(shared.join(central.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).drop("n", "members"))
+    drop(shared, central)
     labels: DataFrame | None = None
+    links: list[DataFrame] = [keep(known)] if known is not None else []
 
-    def labelled() -> DataFrame:
+    def labelled(rows: DataFrame) -> DataFrame:
         if labels is None:
-            return shared.withColumn("label", F.col("node"))
+            return rows.withColumn("label", F.col("node"))
         own = labels.withColumnRenamed("node", "labelled_node")
-        return shared.join(own, F.col("node") == F.col("labelled_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("labelled_node")
-
-    def unsettled(rows: DataFrame) -> DataFrame:
-        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select(F.col("key").alias("k"))
-        return settle(rows.join(mixed, F.col("key") == F.col("k"), "left_semi"))
-
-    extra = [c for c in shared.columns if c not in ("key", "node")]
+        return rows.join(own, F.col("node") == F.col("labelled_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("labelled_node")
 
     def member(rows: DataFrame, end: str) -> DataFrame:
-        return rows.select("key", *(F.col(c).alias(c + end) for c in rows.columns if c != "key"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Links between labels, of pairs with labels."""
-        pairs = settle(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
-        return between(settle(confirm(pairs).select("a", "b")))
-
-    def between(found: DataFrame) -> DataFrame:
-        if labels is None:
-            return found
-        one, two = (labels.select(F.col("node").alias(n), F.col("label").alias(x)) for n, x in (("na", "la"), ("nb", "lb")))
-        return settle(found.join(one, F.col("a") == F.col("na"), "left").join(two, F.col("b") == F.col("nb"), "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-
-    for turn in range(ROUNDS):
-        rows = unsettled(labelled())
-        if rows.isEmpty():
-            return labels
-        members = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node"), F.col("label"), *(F.col(c) for c in extra))
-        centres = rows.groupBy("key").agg(F.min(members).alias("c")).select(F.col("key"), F.col("c.node").alias("node_a"), F.col("c.label").alias("label_a"), *(F.col(f"c.{c}").alias(f"{c}_a") for c in extra))
-        stars = member(rows, "_b").join(centres, "key").filter("label_a <> label_b").filter(fits)
-        labels = _relabel(labels, linked(stars))
-    rows = unsettled(labelled())
-    if rows.isEmpty():
-        return labels
-    large = settle(rows.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > PAIRWISE).select(F.col("key").alias("k")))
+        return rows.select("key", *(F.col(c).alias(c + end) for c in ("node", "label", *extra)))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        found = keep(confirm(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), pool).select("a", "b"))
+        links.append(found)
+        return found
+
+    def stars(rows: DataFrame, order: list) -> DataFrame:
+        """Links of each bucket's first member in ``order`` with the others."""
+        first = F.min(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), "node", "label", *extra)).alias("c")
+        centres = rows.groupBy("key").agg(first).select("key", *(F.col(f"c.{c}").alias(c + "_a") for c in ("node", "label", *extra)))
+        return checked(member(rows, "_b").join(centres, "key").filter("label_a <> label_b").filter(fits))
+
+    by_weight = [-F.col("weight"), F.col("node")]
+    labels = _hooked(labels, stars(labelled(rows), by_weight))
+
+    def unsettled(rows: DataFrame, more: int) -> DataFrame:
+        """Rows of buckets of more than that many members and several components, with the members and the first centre."""
+        own = labelled(rows)
+        mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.min(F.struct(-F.col("weight"), "node")).alias("c"))
+        mixed = keep(mixed.filter(f"low < high AND members > {more}").select(F.col("key").alias("mixed_key"), "members", F.col("c.node").alias("centre")))
+        found = keep(among(rows, "key", mixed, ("members", "centre")))
+        drop(mixed)
+        return found
+
+    rest = unsettled(rows, 2)
+    drop(rows)
+    large = rest.filter(f"members > {PAIRWISE}")
     if not large.isEmpty():
-        dense = _merged(settle(rows.join(large, F.col("key") == F.col("k"), "left_semi").select("key", "node", "label", "size")))
-        labels = _relabel(labels, between(settle(blocks(dense))))
-        rows = unsettled(labelled()).join(large, F.col("key") == F.col("k"), "left_anti")
-    rest = member(rows, "_a").join(member(rows, "_b"), "key").filter("node_a < node_b AND label_a <> label_b").filter(fits)
-    return _relabel(labels, linked(rest))
+        for turn in range(ROUNDS - 1):
+            alone = (F.col("label") != F.col("node")).cast("int")
+            order = [alone, *by_weight] if turn == 0 else [alone, F.xxhash64("node", F.lit(turn)), F.col("node")]
+            labels = _hooked(labels, stars(labelled(large), order))
+        dense = unsettled(large.drop("members", "centre"), PAIRWISE)
+        if not dense.isEmpty():
+            groups = _groups(labelled(dense))
+            links.append(keep(compare_blocks(groups, pool, prepare, linked)))
+            drop(groups)
+            labels = _hooked(labels, links[-1])
+        drop(dense)
+    few = labelled(rest.filter(f"members <= {PAIRWISE} AND node <> centre"))
+    checked(member(few, "_a").join(member(few, "_b"), "key").filter("node_a < node_b AND label_a <> label_b").filter(fits))
+    left = keep(_mapped(reduce(DataFrame.union, links), labels).distinct())
+    if not left.isEmpty():
+        merged = components(left)
+        old, labels = labels, _relabel(labels, merged)
+        drop(merged, *([old] if old is not None else []))
+    drop(left, rest, pool, *links)
+    return labels

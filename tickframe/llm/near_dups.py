@@ -2,7 +2,8 @@
 
 A document's set is its distinct shingles of five words.  Its sketch is one byte
 a register: the smallest of the set's hashes under the register's own permutation,
-taken as an exponential variable and rounded to a power of ``BASE`` (a truncated minimum).  Sketches merge
+taken as an exponential variable of rate ``RATE`` and rounded to a power of ``BASE`` (a truncated minimum).  The rate lifts the registers
+of small sets off the floor: one of a single shingle is 0 with a probability of exp(-RATE).  Sketches merge
 by the larger register, and two registers agree at least as often as their sets' similarity says.
 
 Registers are banded: documents with equal values in all registers of a band are candidates.  From the registers of a
@@ -15,7 +16,7 @@ with a probability below ``MISS``.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with
 nothing; texts of fewer than five words have one shingle, all their words; rows that share an id
-are one document, linked by all its texts; rows with null id are linked through equal sets only and get the
+are one document, linked by all its texts, so they have one component; rows with null id are linked through equal sets only and get the
 smallest id among them, if any.
 """
 
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .links import among, compare_blocks, resolve
-from .runtime import Memo, map_columns, settle, ship, slices, text_or_empty
+from .links import SMALL, among, resolve
+from .runtime import Memo, drop, keep, map_columns, ship, slices, text_or_empty
 
-WORDS, REGISTERS, BASE, TOP, MISS = 5, 125, 1.1, 255, 1e-6
+WORDS, REGISTERS, BASE, RATE, TOP, MISS = 5, 125, 1.1, 20, 255, 1e-6
 BLOCK, COLUMNS = 4096, 4096
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,7 +74,7 @@ def sketch(hashes: np.ndarray) -> bytes:
     for start in range(0, len(hashes), BLOCK):
         least = np.minimum(least, np.multiply.outer(_SEEDS, hashes[start : start + BLOCK]).min(axis=1))
     exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64 * (1 - 1e-16))
-    return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, TOP).astype(np.uint8).tobytes()
+    return np.clip(np.floor(1 - np.log(exponential / RATE) / np.log(BASE)), 0, TOP).astype(np.uint8).tobytes()
 
 
 def merge_sketches(one: bytes, two: bytes) -> bytes:
@@ -210,33 +211,39 @@ def similar(percent: int):
 def classes(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row; the smallest id of a class is kept.
 
-    Ids must be integers."""
+    Ids must be integers.  An empty table gives an empty result; other columns of ``docs`` don't matter, whatever their names."""
     threshold = percent / 100
     rows = band_rows(threshold)
     base = docs.select(docs[id_column].cast("long").alias("doc_id"), text_or_empty(docs, text_column).alias("text"))
-    drawn = settle(sketches(base))
-    # one node for equal sets
-    nodes = drawn.filter("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    nodes = settle(nodes)
+    drawn = keep(sketches(base))
+    # one node for equal sets, which have equal sizes and registers
+    nodes = keep(drawn.filter("n_shingles > 0").groupBy("same", "n_shingles", "registers").agg(F.min("doc_id").alias("node")))
+    to_node = nodes.select(F.col("same").alias("s"), "node")
+    placed = keep(drawn.select("doc_id", "n_shingles", "same").join(to_node, (F.col("same") == F.col("s")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", "node"))
+    drop(drawn)
     usable = nodes.filter("node IS NOT NULL")
+    # rows that share an id: their nodes are linked
+    again = keep(placed.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1").select(F.col("doc_id").alias("again"), "first"))
+    repeated = not again.isEmpty()
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring(F.col("registers"), i * rows + 1, rows)) for i in range(REGISTERS // rows)])
     entries = usable.select("node", F.col("n_shingles").alias("size"), F.explode(bands).alias("key")).select("key", "node", "size")
 
-    def texts(used: DataFrame) -> DataFrame:
+    def payloads(used: DataFrame) -> DataFrame:
         """Of each set the text of one document, the one with the smallest id."""
-        return among(base.withColumnRenamed("doc_id", "node"), "node", used)
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        likely = settle(_likely(pairs, usable, threshold))
-        used = settle(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
-        return _confirmed(likely, texts(used), percent)
-
-    def blocks(rows: DataFrame) -> DataFrame:
-        return compare_blocks(rows, lambda used: texts(used).withColumnRenamed("text", "payload"), shingles, similar(percent))
-
-    labels = resolve(entries, confirm, blocks, fits=f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-    to_node = nodes.select(F.col("same").alias("s"), "node")
-    found = drawn.select("doc_id", "n_shingles", "same").join(to_node, (F.col("same") == F.col("s")) & (F.col("n_shingles") > 0), "left")
+        wanted = keep(used)
+        texts = among(base.select(F.col("doc_id").alias("node"), F.col("text").alias("payload")), "node", wanted)
+        found = keep(texts.distinct() if repeated else texts)
+        drop(wanted)
+        return found
+
+    def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        return _confirmed(_likely(pairs, usable, threshold), texts.withColumnRenamed("payload", "text"), percent)
+
+    fits = "true" if repeated else f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+    same_id = placed.join(F.broadcast(again) if again.count() <= SMALL else again, F.col("doc_id") == F.col("again")).filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct() if repeated else None
+    labels = resolve(entries, payloads, confirm, shingles, similar(percent), fits=fits, known=same_id)
+    drop(nodes, again)
+    found = placed
     if labels is not None:
         found = found.join(labels.select(F.col("node").alias("n"), "label"), F.col("node") == F.col("n"), "left")
     else:
