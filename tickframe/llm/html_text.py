@@ -1,18 +1,24 @@
 """Main text of web pages from parser events, by text-to-tag ratio.
 
 The standard library's streaming parser gives events; each block of text becomes a line,
-with the number of tags met since the line before.  A line's ratio is its characters over its tags;
+with the number of tags met since the line before.  A line's ratio is its characters (``FULL`` at most, for this only) over its tags;
 ratios are smoothed along the page with a Gaussian and split into two clusters by a threshold
-(two means); the upper one marks content.  The innermost element that holds nearly all content text is found;
-the content region is the article around it, else the main element around it, else the innermost element that holds all
-content text.  Within the region every line counts, short ones too.
+(two means).  Lines above it, smoothed and by themselves, are content; the others are not, yet they aren't dropped for
+that: an article has short paragraphs too.
 
-What is boilerplate by its own markup never counts: navigation, headers outside an article,
-footers, asides, forms, scripts, styles and the like, and elements whose class, id or role names
-adverts, menus, sidebars, notices, shares or comments.
+Content lines choose the region: the outermost article that holds at least half of their text, else such a main element, else
+the innermost element that holds all of them, widened to what encloses it while that adds running text, not lists of
+links.  Within the region every line counts, but for rows of links where no article or main element bounds it.
+
+Elements and names are hints, which content lines overrule.  An element is hinted as boilerplate by what it is (navigation, headers
+outside an article, footers, asides, forms and the like) or by words in its class, id or role (adverts, menus, sidebars, notices, shares,
+comments).  Hinted elements go, unless no article or main element and hardly any content line is left then: the one that holds most content is
+no boilerplate, such as a form around the page or a layout named after its sidebar.  Scripts, styles and other
+elements that aren't text never count.
 
 Defined results: null and empty pages have no text; a page without tags is all text; unclosed and
-stray tags end where their enclosing element does; pages of any length are read whole.
+stray tags end where their enclosing element does; pages of any length are read whole; rows are extracted one by one, so that
+repeated rows give equal texts and an empty table an empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +37,10 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option "
     "p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Never content.
-DROPPED = frozenset("head title script style noscript template svg math iframe object canvas audio video nav footer aside form button select textarea dialog menu".split())
+#: Never text.
+SILENT = frozenset("head title script style noscript template svg math iframe object canvas audio video".split())
+#: Boilerplate by what they are.
+HINTED = frozenset("nav footer aside form button select textarea dialog menu".split())
 #: Words in class, id or role that name boilerplate; the second set only outside an article.
 NAMES = re.compile(
     r"(?:^|[_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|menus?|nav|navbar|navigation|breadcrumbs?|sidebars?|widgets?|footers?|comments?|disqus|repl(?:y|ies)|respond|cookies?|"
@@ -40,33 +48,40 @@ NAMES = re.compile(
     re.I,
 )
 HEAD_NAMES = re.compile(r"(?:^|[_-])(?:headers?|masthead|banners?)(?:$|[_-])", re.I)
-#: A layout's class such as "with-sidebar" says what stands beside.
+#: A layout's class such as "page with-sidebar" says what stands beside.
 BESIDE = ("with-", "has-", "no-", "is-")
 #: Elements that an opening one closes, where authors leave the end out.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPES = frozenset("article section div main body table ul ol dl td th blockquote aside nav footer header form".split())
 #: What may be the content region.
 REGIONS = frozenset("article section main div body td html".split())
-SIGMA, COVER = 1.0, 0.9
+SIGMA = 1.0
+#: Shares: of content text that hints must leave; that makes an article or main element the region; of links in a row of links.
+LEFT, MOST, LINKS = 0.05, 0.5, 0.8
+#: Characters from which a line counts as running text in full, so that one huge line isn't a cluster of its own.
+FULL = 500
+BY_NAME, BY_ELEMENT = 1, 2
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags since the line before, numbers of the open elements) of each block outside boilerplate."""
+    """Collects (text, tags since the line before, numbers of the open elements, characters in links) of each block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, number, boilerplate
-        self.number = self.tags = self.dropped = 0
+        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
+        self.open: list[tuple[str, int, bool]] = []  # name, number, never text
+        self.number = self.tags = self.silent = self.links = self.linked = 0
         self.regions: dict[int, str] = {}
+        self.hints: dict[int, int] = {}
         self.text: list[str] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            self.lines.append((text, max(1, self.tags), tuple(n for _, n, _ in self.open)))
+            self.lines.append((text, max(1, self.tags), tuple(n for _, n, _ in self.open), min(len(text), self.linked)))
             self.tags = 0
+        self.linked = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -85,27 +100,40 @@ class Lines(HTMLParser):
         self.number += 1
         if tag in REGIONS:
             self.regions[self.number] = tag
+        if hint := self.hint(tag, attrs):
+            self.hints[self.number] = hint
+        silent = tag in SILENT
+        self.silent += silent
+        self.links += tag == "a"
+        self.open.append((tag, self.number, silent))
+
+    def hint(self, tag: str, attrs) -> int:
         inside = any(name == "article" for name, _, _ in self.open)
-        bad = tag in DROPPED or (tag == "header" and not inside)
-        if not bad and attrs and tag not in ("html", "body", "main"):
-            for key, value in attrs:
-                if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                    bad = True
-                elif key in ("class", "id", "role") and value:
-                    for name in value.split():
-                        if not name.startswith(BESIDE) and (NAMES.search(name) or (not inside and HEAD_NAMES.search(name))):
-                            bad = True
-        self.dropped += bad
-        self.open.append((tag, self.number, bad))
+        if tag in HINTED or (tag == "header" and not inside):
+            return BY_ELEMENT
+        if tag in ("html", "body", "main"):
+            return 0
+        for key, value in attrs:
+            if key == "hidden" or (key == "aria-hidden" and value == "true"):
+                return BY_ELEMENT
+            if key in ("class", "id", "role") and value:
+                for name in value.split():
+                    if not name.startswith(BESIDE) and (NAMES.search(name) or (not inside and HEAD_NAMES.search(name))):
+                        return BY_NAME
+        return 0
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def closed(self, i: int) -> None:
+        self.silent -= sum(silent for _, _, silent in self.open[i:])
+        self.links -= sum(name == "a" for name, _, _ in self.open[i:])
+
     def close_from(self, i: int) -> None:
         self.flush()
-        self.dropped -= sum(bad for _, _, bad in self.open[i:])
+        self.closed(i)
         del self.open[i:]
 
     def handle_endtag(self, tag):
@@ -115,17 +143,20 @@ class Lines(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
-                if any(bad or name in BLOCK for name, _, bad in self.open[i:]):
+                if any(silent or name in BLOCK for name, _, silent in self.open[i:]):
                     self.close_from(i)
                 else:
+                    self.links -= name == "a"
                     del self.open[i]
                 return
             if name in SCOPES and tag not in SCOPES and tag not in ("html", "head"):
                 return
 
     def handle_data(self, data):
-        if not self.dropped:
+        if not self.silent:
             self.text.append(data)
+            if self.links:
+                self.linked += len(data)
 
 
 def smooth(values: np.ndarray) -> np.ndarray:
@@ -149,30 +180,105 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
+def content_lines(lines: list[tuple]) -> list[bool]:
+    """Which lines are in the upper cluster, smoothed and by themselves."""
+    ratios = np.array([min(len(line[0]), FULL) / line[1] for line in lines])
+    smoothed = smooth(ratios)
+    cut = threshold(smoothed) - 1e-9
+    found = (smoothed >= cut) & (ratios >= cut)
+    return (found if found.any() else smoothed >= cut).tolist()
+
+
+def _standing_hints(lines: list[tuple], content: list[bool], hints: dict[int, int], regions: dict[int, str]) -> set[int]:
+    """The hinted elements that go: all, where an article or main element outside of them has text; else all but
+    those without which hardly any content line is left."""
+    standing = set(hints)
+    bounds = {i for i, name in regions.items() if name in ("article", "main")}
+    strong = [(len(line[0]), line[2]) for line, is_content in zip(lines, content) if is_content]
+    total = sum(n for n, _ in strong)
+    while standing:
+        left = [(n, path) for n, path in strong if standing.isdisjoint(path)]
+        bounded = any(standing.isdisjoint(line[2]) and not bounds.isdisjoint(line[2]) for line in lines)
+        if bounded or left and sum(n for n, _ in left) >= LEFT * total:
+            break
+        mass: dict[int, int] = {}
+        for n, path in strong:
+            for i in standing.intersection(path):
+                mass[i] = mass.get(i, 0) + n
+        if not mass:
+            break
+        standing.remove(min(mass, key=lambda i: (-mass[i], hints[i], i)))
+    return standing
+
+
+def _bounded(strong: list[tuple], regions: dict[int, str]) -> int | None:
+    """The outermost article, else main element, that holds most of the content lines' text."""
+    total = sum(len(line[0]) for line in strong)
+    for name in ("article", "main"):
+        mass: dict[int, int] = {}
+        for line in strong:
+            outer = next((i for i in line[2] if regions.get(i) == name), None)
+            if outer is not None:
+                mass[outer] = mass.get(outer, 0) + len(line[0])
+        best = max(mass, key=mass.get, default=None)
+        if best is not None and mass[best] >= MOST * total:
+            return best
+    return None
+
+
+def _innermost(lines: list[tuple], strong: list[tuple], regions: dict[int, str]) -> int | None:
+    """The innermost element that holds all content lines, widened while that adds running text."""
+    common = set(strong[0][2]).intersection(*(line[2] for line in strong[1:]))
+    around = [i for i in strong[0][2] if i in common and i in regions]
+    if not around:
+        return None
+    region = around[-1]
+    for outer in reversed(around[:-1]):
+        if regions[outer] in ("body", "html"):
+            break
+        added = [line for line in lines if outer in line[2] and region not in line[2]]
+        if sum(line[3] for line in added) > (1 - LINKS) * sum(len(line[0]) for line in added):
+            break
+        region = outer
+    return region
+
+
+def _without_link_rows(lines: list[tuple[tuple, bool]]) -> list[tuple]:
+    """Lines but for rows of three or more neighbours that are links and no content."""
+    out, row = [], []
+    for line, is_content in [*lines, (None, True)]:
+        if line is not None and not is_content and line[3] >= LINKS * len(line[0]):
+            row.append(line)
+            continue
+        if len(row) < 3:
+            out += row
+        row = []
+        if line is not None:
+            out.append(line)
+    return out
+
+
 def extract(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    if not parser.lines:
+        return ""
+    content = content_lines(parser.lines)
+    gone = _standing_hints(parser.lines, content, parser.hints, parser.regions)
+    kept = [(line, is_content) for line, is_content in zip(parser.lines, content) if gone.isdisjoint(line[2])]
+    lines = [line for line, _ in kept]
+    strong = [line for line, is_content in kept if is_content] or lines
     if not lines:
         return ""
-    ratios = smooth(np.array([len(text) / tags for text, tags, _ in lines]))
-    content = ratios >= threshold(ratios) - 1e-9
-    # the innermost region that holds nearly all of the content cluster's text, then what is around it
-    mass: dict[int, int] = {}
-    total = 0
-    for (text, _, path), is_content in zip(lines, content):
-        if is_content:
-            total += len(text)
-            for n in path:
-                if n in parser.regions:
-                    mass[n] = mass.get(n, 0) + len(text)
-    core = max((n for n, m in mass.items() if m >= COVER * total), default=None)
-    around = next((path[: path.index(core) + 1] for _, _, path in lines if core in path), ())
-    whole = (max((n for n in around if parser.regions.get(n) == name), default=None) for name in ("article", "main"))
-    region = next((n for n in whole if n is not None), max((n for n, m in mass.items() if m == total), default=None))
-    return "\n".join(text for text, _, path in lines if region is None or region in path)
+    region = _bounded(strong, parser.regions)
+    if region is not None:
+        found = [line for line in lines if region in line[2]]
+    else:
+        region = _innermost(lines, strong, parser.regions)
+        found = _without_link_rows([(line, is_content) for line, is_content in kept if region is None or region in line[2]])
+    return "\n".join(line[0] for line in found)
 
 
 def extract_pages(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
