@@ -7,12 +7,13 @@ labelled texts; a text goes to the language of the centroid with the largest cos
 from it than nearly all labelled texts of that language are from theirs is ``rejected``.
 
 The labelled sample is bounded: about ``SAMPLE`` rows of each language, those with the
-smallest hashes of their ids; where there are so many languages that this makes more than ``SAMPLE_ROWS``, those
+smallest hashes of id and text; where there are so many languages that this makes more than ``SAMPLE_ROWS``, those
 are shared among them, but no language gets fewer than ``LEAST``.  Every language is learned.
 
 Defined results: null text and text without letters is ``und`` with score 0; texts of any length are read
-whole, in blocks; rows with null lang are never learned from; without labelled rows all is ``und``; equal
-texts get equal results.
+whole, in blocks; rows with null lang are never learned from, rows with null id are, like any other; without labelled rows all is ``und``; equal
+texts get equal results, and equal tables equal models, in whatever order; of languages at the same distance the first by name
+counts; an empty table gives an empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -103,17 +104,18 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
     if not sizes:
         return None
     each = min(SAMPLE, max(LEAST, SAMPLE_ROWS // len(sizes)))
-    # a hash below each / n has about ``each`` rows; nothing is sorted or gathered to find them
+    # a hash below each / n has about ``each`` rows; what is over is cut evenly, by how near to its language's limit a row is
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, each / r["n"]))])
-    unit = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.filter(F.coalesce(unit < share[F.col("lang")], F.lit(False)))
+    unit = F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("text"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.withColumn("near", unit / share[F.col("lang")]).filter("near < 1")
 
-    def kernel(langs, texts):
-        out = [(lang, c) for lang, text in zip(langs, texts) if (c := counts(text)) is not None]
-        return [lang for lang, _ in out], [np.flatnonzero(c).tolist() for _, c in out], [c[np.flatnonzero(c)].astype(int).tolist() for _, c in out]
+    def kernel(near, langs, texts):
+        out = [(n, lang, c) for n, lang, text in zip(near, langs, texts) if (c := counts(text)) is not None]
+        return [n for n, _, _ in out], [lang for _, lang, _ in out], [np.flatnonzero(c).tolist() for _, _, c in out], [c[np.flatnonzero(c)].astype(int).tolist() for _, _, c in out]
 
-    sparse = map_columns(picked, ["lang", "text"], "lang string, cells array<int>, ns array<int>", kernel)
-    found = sorted(((r["lang"], r["cells"], r["ns"]) for r in sparse.limit(2 * max(SAMPLE_ROWS, each * len(sizes))).collect()))
+    sparse = map_columns(picked, ["near", "lang", "text"], "near double, lang string, cells array<int>, ns array<int>", kernel)
+    first = sparse.distinct().orderBy("near", "lang", "cells", "ns").limit(max(SAMPLE_ROWS, each * len(sizes)))
+    found = sorted(((r["lang"], r["cells"], r["ns"]) for r in first.collect()))
     if not found:
         return None
     table = np.zeros((len(found), DIM), dtype=np.float32)

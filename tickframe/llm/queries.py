@@ -45,11 +45,13 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
+    from .runtime import fresh
 
     docs = table(spark, sf_dir, "documents")
+    (held,) = fresh(docs, "held_out")
     model = language.fit(docs.filter(~language.held_out(docs)))
-    found = language.predict(docs.withColumn("is_held_out", language.held_out(docs)), model, reject=False, keep=("is_held_out",))
-    return found.withColumnRenamed("is_held_out", "held_out")
+    found = language.predict(docs.withColumn(held, language.held_out(docs)), model, reject=False, keep=(held,))
+    return found.withColumnRenamed(held, "held_out")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
