@@ -8,7 +8,8 @@ the strongest one with that of each of the next frames.  A pair is a (time, code
 entry of a time-coded array, the code holding both frequencies and their distance in time.
 
 Defined results: null and empty text are 64 zero bytes, which are silence and have no
-pairs; equal texts give equal media and features; texts of any length are stored and
+pairs; equal texts give equal media and features, repeated rows too; of equally strong maxima the lower frequency counts; an empty
+table gives an empty result, and other columns don't matter, whatever their names; texts of any length are stored and
 analysed whole, in blocks of frames, so that memory beside the payload is bounded.
 """
 
@@ -71,9 +72,11 @@ def fingerprint(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     for start in range(0, count, BLOCK):
         stop = min(count, start + BLOCK)
         part = samples[start * HOP : (stop - 1) * HOP + FRAME].astype(np.float32)
-        part -= np.float32(part.mean())
-        part = np.pad(part, (0, (stop - start - 1) * HOP + FRAME - len(part)))
+        # only the last frame of all can be short: it goes on with its mean, and each frame's mean is taken off
+        last = (stop - start - 1) * HOP
+        part = np.pad(part, (0, last + FRAME - len(part)), constant_values=part[last:].mean())
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        frames = frames - frames.mean(axis=1, keepdims=True)
         found.append(_peaks(np.abs(np.fft.rfft(frames * _WINDOW, axis=1))))
     peaks = np.concatenate(found)
     times, codes = [], []
