@@ -15,7 +15,8 @@ Base rules: too few words, or too many words in repeated 3-word windows.
 
 Defined results: null and empty texts have no words and fail the base; null lang is a
 language of its own for reference; texts of any length are measured whole; without any reference nothing is
-rejected beyond the base.
+rejected beyond the base; of references at the same distance it doesn't matter which is nearest; repeated rows are counted and judged each;
+an empty table gives an empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import fresh, map_columns, settle, ship, slices, text_or_empty
+from .runtime import drop, fresh, keep, map_columns, ship, slices, text_or_empty
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 COMMON, LEAST_SHARE = 1 / 400, 1 / 1000
@@ -142,17 +143,18 @@ def references(docs: DataFrame, text_column: str = "text", lang_column: str = "l
     """``[(lang, class shares, {common word: share})]`` over all documents."""
     ship(docs.sparkSession)
     counts = docs.select(docs[lang_column].cast("string").alias("lang"), text_or_empty(docs, text_column).alias("text")).mapInArrow(_count, "lang string, kind string, key string, n long")
-    sums = settle(counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
-    totals = sums.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
+    sums = keep(counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
+    totals = keep(sums.filter("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("words")))
+    every = totals.agg(F.sum("words")).first()[0] or 0
     # at most 1 / LEAST_SHARE languages can have that share of all words, and 1 / COMMON words that share of one
-    every = totals.filter("kind = 'w'").agg(F.sum("total").alias("every"))
-    large = totals.filter("kind = 'w'").join(every, F.col("total") >= LEAST_SHARE * F.col("every")).select("lang", F.col("total").alias("words"))
+    large = totals.filter(F.col("words") >= LEAST_SHARE * every)
     kept = {row["lang"]: row["words"] for row in large.collect()}
     if not kept:
         return []
     # broadcast: at most 1 / LEAST_SHARE rows, and the few languages don't become the few tasks of a join
     big = sums.join(F.broadcast(large.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l")))
     rows = big.filter((F.col("kind") == "c") | (F.col("n") >= COMMON * F.col("words"))).select("lang", "kind", "key", "n").collect()
+    drop(sums, totals)
     found = []
     for lang, total in sorted(kept.items(), key=lambda x: (x[0] is None, x[0])):
         shape = np.zeros(len(CLASSES))
