@@ -12,7 +12,8 @@ pair alone), so the tokens outside are proved stable and the result is that of m
 Decoding maps ids to bytes and concatenates them up the same kind of tree.
 
 Defined results: null and empty text encode to no ids; a text of any length is encoded whole,
-a match of a million bytes in O(n log^2 n); special strings are ordinary text.
+a match of a million bytes in O(n log^2 n); special strings are ordinary text; of equal ranks the first pair is merged; repeated rows are encoded each, an empty table gives an
+empty result, and other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations

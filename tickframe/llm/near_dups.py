@@ -17,7 +17,7 @@ with a probability below ``MISS``.
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with
 nothing; texts of fewer than five words have one shingle, all their words; rows that share an id
 are one document, linked by all its texts, so they have one component; rows with null id are linked through equal sets only and get the
-smallest id among them, if any.
+smallest id among them, if any; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ likewise which other characters merges never cross.  The stretches between
 are counted apart and remembered, which gives the count of the whole text exactly.
 
 Defined results: null and empty text have no tokens; a text of any length is counted whole;
-special strings in a text are ordinary characters.
+special strings in a text are ordinary characters; of equal ranks the first pair in the text is merged, as the library does;
+repeated rows are counted each, an empty table gives an empty result, and other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
