@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing, encoding.
 
-Each stage takes all that the one before kept.  All but the last return the columns of documents; a
-stage that shortens texts sets n_chars to the new length.
+Each stage takes all that the one before kept.  All but the last return the columns of documents, further ones
+included, whatever their names; a stage that shortens texts sets n_chars to the new length.  Every stage takes an
+empty table and returns one.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickframe.llm import byte_bpe, line_dedup, mixing, near_dups, quality
 from tickframe.llm.queries import BYTE_RANKS, MOST, WEIGHTS, tokenizer
-from tickframe.llm.runtime import fresh, settle, text_or_empty
+from tickframe.llm.runtime import fresh, keep, settle, text_or_empty
 
 #: Shared share of five-word shingles, in percent, from which documents are near duplicates.
 SIMILAR = 80
@@ -25,20 +26,23 @@ def _having(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the rules.  The verdict is a column beside the document's own."""
+    """Keeps the documents that pass the rules; repeated rows are judged each.  Null and empty texts have too few words and go."""
     return quality.keep_good(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near-equal lines the first; documents left without words go."""
+    """Keeps of each class of near-equal lines the first, by document id and place; documents left without words go.
+
+    Rows that share an id are one document, rows without id only if their texts are equal."""
     return line_dedup.dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class; one of several rows with that id.
+    """Keeps the document with the smallest id of each class.  Rows that share an id are one document, whatever their texts: of
+    those one stays, the one with the smallest hash.  Documents without words are linked with nothing and stay.
 
     Rows without id are linked through equal sets only: of those with equal sets one stays, if no row with an id has that set."""
-    found = settle(near_dups.classes(docs, percent=SIMILAR))
+    found = keep(near_dups.classes(docs, percent=SIMILAR))
     if not found.filter("doc_id IS NULL").isEmpty():
         numbered = docs.filter("doc_id IS NOT NULL")
         return _one_of_each(numbered, found.filter("doc_id IS NOT NULL")).unionByName(_without_id(docs.filter("doc_id IS NULL"), numbered))
@@ -56,18 +60,24 @@ def _without_id(lone: DataFrame, numbered: DataFrame) -> DataFrame:
 
 def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept = _having(docs, found.filter("kept"))
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    # rows that share an id are rare: only then are the documents dealt by id to keep one of each
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id"])
+    again = keep(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    # rows that share an id are rare: only they are compared with each other
+    (key, least) = fresh(docs, "row_key", "least_key")
+    twice = _having(kept, again).withColumn(key, F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    first = twice.groupBy("doc_id").agg(F.min(key).alias(least)).select(F.col("doc_id").alias(fresh(docs, "first_doc_id")[0]), least)
+    one = twice.join(first, (F.col("doc_id") == F.col(first.columns[0])) & (F.col(key) == F.col(least))).dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(again.withColumnRenamed("doc_id", least), kept["doc_id"] == F.col(least), "left_anti").unionByName(one)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents, some repeatedly, so that sources come near their target weights."""
+    """Takes documents, some repeatedly, so that sources come near their target weights; a null source is one of its own."""
     return mixing.mix(docs, WEIGHTS, MOST)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes each text and decodes it again; a row for each document taken."""
+    """Encodes each text and decodes it again; a row for each document taken.  Null and empty texts have no ids."""
     import public_tokenizers
 
     return byte_bpe.round_trip(docs, tokenizer(BYTE_RANKS), public_tokenizers.PATTERN)
