@@ -9,18 +9,20 @@ first line, by document id and place, stays, and the others go.
 
 Lines are compared without white space at their ends; blank ones are left alone.  Lines of fewer than ``NEAR_CHARS``
 characters are linked to equal lines only, by their hash: two edits make other words of so short a line, and its
-segments are too short to tell lines apart.  Different lines have different 64-bit hashes for nodes, but for one in 10^8 even
-among 10^11 lines.
+segments are too short to tell lines apart.  Equal lines are those with
+equal hashes of 96 bits; near ones are named by the first 64 of them.
 
 Defined results: null and empty texts have no lines and stay as they are; a line of any length is compared
 whole; rows that share an id are one document, rows
 without id only if their texts are equal, and null sorts first among ids; a document left without words
-by removals is dropped by ``dedup``; documents without removals are returned unchanged.
+by removals is dropped by ``dedup``; documents without removals are returned unchanged; equal lines of one document count as
+any others; an empty table gives an empty result; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -236,7 +238,9 @@ def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(doc, own, pos, line, node)`` of the eligible lines; ``node`` is the hash that ``_keys`` gives."""
     split = F.split(text_or_empty(docs, text_column), "\n")
     lines = docs.select(docs[id_column].alias("doc"), _own(docs, id_column, text_column).alias("own"), F.posexplode(split).alias("pos", "raw"))
-    return lines.select("doc", "own", "pos", F.btrim("raw", F.lit(SPACES)).alias("line")).filter(F.length("line") >= MIN_CHARS).withColumn("node", F.xxhash64("line"))
+    # trimming is costly, and few lines need it
+    ends = functools.reduce(or_, [f("raw", F.lit(c)) for c in SPACES for f in (F.startswith, F.endswith)])
+    return lines.select("doc", "own", "pos", F.when(ends, F.btrim("raw", F.lit(SPACES))).otherwise(F.col("raw")).alias("line")).filter(F.length("line") >= MIN_CHARS).withColumn("node", F.xxhash64("line"))
 
 
 def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS) -> DataFrame:
