@@ -134,6 +134,40 @@ def js(p, q):
     return math.sqrt(max(0.0, total))
 
 
+def noise(shares, n):
+    """Mean divergence of Poisson counts around n * share, by plain sums."""
+    total = 0.0
+    for share in shares:
+        rate = n * share
+        if rate > 250:
+            total += 1 / (8 * math.log(2))
+        elif rate:
+            for c in range(int(rate + 12 * math.sqrt(rate) + 20)):
+                chance = math.exp(c * math.log(rate) - rate - math.lgamma(c + 1))
+                total += chance * ((c * math.log2(2 * c / (c + rate)) if c else 0) + rate * math.log2(2 * rate / (c + rate))) / 2
+    return total / n
+
+
+def test_sampling_noise_is_that_of_samples():
+    r = np.random.default_rng(1)
+    for size in (20, 300):
+        shares = r.dirichlet(np.ones(size))
+        for n in (60, 1000):
+            drawn = r.multinomial(n, shares, 2000) / n
+            mean = (quality.js_distance(drawn, shares) ** 2).mean()
+            assert abs(quality.sampling_noise(shares, n) - mean) < 0.06 * mean
+            assert abs(quality.sampling_noise(shares, n) - noise(shares, n)) < 0.01 * mean
+
+
+def test_flat_vocabulary_is_kept(spark):
+    """Many equally common words: what is far from their shares is the sample, not the text."""
+    r = random.Random(2)
+    words = [words_of(r, "abcdefghij", 1) + str(i) for i in range(300)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(200)), "xx") for i in range(300)]
+    got = quality.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sum(x.kept for x in got) >= 297
+
+
 def kind(c):
     import unicodedata
 
@@ -184,10 +218,11 @@ def test_quality_distances_equal_plain_ones(spark):
         pairs = []
         for shape, common in refs.values():
             seen = {w: mine[w] / len(words) for w in common if w is not None}
-            pairs.append((js(shares(collections.Counter(map(kind, text))), shape), js({**seen, None: 1 - sum(seen.values())}, common)))
-        near, far = min(pairs, key=max)
+            far = js({**seen, None: 1 - sum(seen.values())}, common)
+            pairs.append((js(shares(collections.Counter(map(kind, text))), shape), far, math.sqrt(max(0, far**2 - noise(common.values(), len(words))))))
+        near, far, excess = min(pairs, key=lambda x: max(x[:2]))
         assert abs(got[i].class_distance - near) < 1e-9 and abs(got[i].word_distance - far) < 1e-9
-        assert got[i].kept == (not got[i].base_failed and near <= quality.CLASS_LIMIT and far <= quality.WORD_LIMIT + quality.NOISE / math.sqrt(len(words)))
+        assert got[i].kept == (not got[i].base_failed and near <= quality.CLASS_LIMIT and excess <= quality.WORD_LIMIT)
         judged += got[i].kept != (not got[i].base_failed)
     assert judged > 5  # some are rejected by distance alone
 

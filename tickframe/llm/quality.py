@@ -8,8 +8,9 @@ That bounds what is sent to the workers: at most 1000 languages of 1 / COMMON wo
 A document is compared with each reference by Jensen-Shannon distance (square root of the divergence
 in bits, 0 to 1), in both histograms; the nearest language counts.  It is rejected when a
 distance is above its limit.  Documents of a language without a reference aren't judged by distances, as other
-languages' references say nothing about them: the base rules alone decide.  Guards: below ``MIN_WORDS`` words no distance is judged, and the limit for words
-is widened by the sampling noise of short texts.
+languages' references say nothing about them: the base rules alone decide.  Guards: below ``MIN_WORDS`` words no distance is judged, and a short text
+isn't judged by its length: from the square of its distance in words is taken what a sample of so many words from the reference itself would have
+on average, which is the sum over words of what a Poisson count around the expected one is away.
 
 Base rules: too few words, or too many words in repeated 3-word windows.
 
@@ -35,8 +36,8 @@ from .runtime import drop, fresh, keep, map_columns, ship, slices, text_or_empty
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 COMMON, LEAST_SHARE = 1 / 400, 1 / 1000
-#: Limits of the distances, and what the one for words gains for a text of n words: NOISE / sqrt(n).
-CLASS_LIMIT, WORD_LIMIT, NOISE = 0.28, 0.17, 2.0
+#: Limits of the distances; the one for words holds beyond the sampling noise.
+CLASS_LIMIT, WORD_LIMIT = 0.28, 0.225
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
 CLASSES = ("lower", "upper", "letter", "digit", "space", "line end", "stop", "quote", "symbol", "control")
 #: Words a worker counts before it hands its counts on.
@@ -115,6 +116,28 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0.0, 1.0))
 
 
+#: Expected counts of the table of sampling noise.
+_RATES = np.concatenate([[0.0], np.geomspace(1e-3, 300.0, 120)])
+
+
+@functools.lru_cache(maxsize=1)
+def _noise_table() -> np.ndarray:
+    """Mean Jensen-Shannon divergence, in bits and counts, of a Poisson count from each of _RATES."""
+    out = np.zeros(len(_RATES))
+    for i, rate in enumerate(_RATES[1:], 1):
+        counts = np.arange(int(rate + 12 * rate**0.5 + 20))
+        chance = np.exp(np.cumsum(np.concatenate([[-rate], np.log(rate) - np.log(np.maximum(counts[1:], 1))])))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = np.where(counts > 0, counts * np.log2(2 * counts / (counts + rate)), 0.0)
+        out[i] = (chance * (own + rate * np.log2(2 * rate / (counts + rate)))).sum() / 2
+    return out
+
+
+def sampling_noise(shares: np.ndarray, n: int) -> np.ndarray:
+    """Mean divergence of a sample of n words from the rows of ``shares`` it is drawn from."""
+    return np.interp(shares * n, _RATES, _noise_table()).sum(axis=-1) / n
+
+
 def _count(batches):
     """Counts of (lang, kind, key): words, and the character classes under their number."""
     import pyarrow as pa
@@ -188,14 +211,15 @@ class Judge:
                 self.share[row, column] = share
             self.share[row, -1] = max(0.0, 1 - sum(common.values()))
 
-    def distances(self, text: str) -> tuple[float, float]:
-        """Of the nearest reference by the larger of both: in characters, in words."""
+    def distances(self, text: str) -> tuple[float, float, float]:
+        """Of the nearest reference by the larger of both: in characters, in words, and the latter without its noise."""
         shape = class_counts(text)
         near = js_distance(shape / max(1, shape.sum()), self.shapes)
         seen = np.bincount(list(map(self.index.get, words_of(text.lower()), itertools.repeat(0))), minlength=self.none + 1)
         mine = seen[self.at] / max(1, seen.sum())
         far = js_distance(np.concatenate([mine, 1 - mine.sum(axis=1, keepdims=True)], axis=1), self.share)
-        return min(zip(near.tolist(), far.tolist()), key=max)
+        excess = np.sqrt(np.maximum(far**2 - sampling_noise(self.share, int(seen.sum())), 0.0))
+        return min(zip(near.tolist(), far.tolist(), excess.tolist()), key=lambda d: max(d[:2]))
 
 
 @functools.lru_cache(maxsize=4)
@@ -215,8 +239,8 @@ def _measure(text: str, judge: Judge | None) -> tuple:
     of_class = of_words = None
     kept = not failed
     if n >= MIN_WORDS and judge:
-        of_class, of_words = judge.distances(text)
-        kept = kept and of_class <= CLASS_LIMIT and of_words <= WORD_LIMIT + NOISE / n**0.5
+        of_class, of_words, excess = judge.distances(text)
+        kept = kept and of_class <= CLASS_LIMIT and excess <= WORD_LIMIT
     return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated, failed, kept, of_class, of_words
 
 
