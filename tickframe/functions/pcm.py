@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,25 +44,36 @@ def reduce(num: Column, den: Column) -> Column:
 
 
 
+#: What each of the twenty damaged versions does.
+KEPT_PARTS = (1, 1, 2, 4, 8, 16, 32, 64)  # 0 to 7: the first n-th part, one byte at least
+STRIDES, FLIPPED = (7, 10, 13, 16), 64 * 1024  # 8 to 11: every so many bytes of the first 64 KiB are inverted
+ZEROED = 4096  # 12 to 15: so many bytes from a quarter's start are zeroed
+MUTATIONS = 20  # 16 to 19: the first, middle, fourth and last byte is inverted
+
+
 def mutate(data: bytes, i: int) -> bytes:
-    """The i-th damaged version: cut off, bits flipped, or a range zeroed; the same each time."""
-    if not data:
+    """The i-th damaged version of a file; an empty one stays so, and so does one without the byte to invert."""
+    n = len(data)
+    if not n:
         return data
-    r = random.Random(i * 1_000_003 + len(data))
-    if i % 3 == 0:
-        return data[: r.randrange(len(data))]
+    if i < 8:
+        return data[: max(1, n // KEPT_PARTS[i])]
     out = bytearray(data)
-    if i % 3 == 1:
-        for _ in range(1 + len(out) // 1000):
-            out[r.randrange(len(out))] ^= 1 << r.randrange(8)
+    if i < 12:
+        places = range(0, min(n, FLIPPED), STRIDES[i - 8])
+    elif i < 16:
+        start = min((i - 12) * (n // 4), n - 1)
+        stop = min(n, start + ZEROED)
+        out[start:stop] = bytes(stop - start)
+        return bytes(out)
     else:
-        start = r.randrange(len(out))
-        end = min(len(out), start + 1 + r.randrange(64))
-        out[start:end] = bytes(end - start)
+        places = (p for p in ((0, n // 2, 3, n - 1)[i - 16],) if p < n)
+    for p in places:
+        out[p] = 255 - out[p]
     return bytes(out)
 
 
-def mutated(df: DataFrame, content: str, count: int = 20) -> DataFrame:
+def mutated(df: DataFrame, content: str, count: int = MUTATIONS) -> DataFrame:
     @F.pandas_udf("binary")
     def damage(data: pd.Series, i: pd.Series) -> pd.Series:
         return pd.Series([mutate(bytes(b), int(k)) for b, k in zip(data, i)])

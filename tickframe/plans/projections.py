@@ -149,9 +149,9 @@ def f05_cd_time(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", timebase.cd_time(t).alias("ns"))
 
 
-@query(r"""WITH s AS (SELECT page_id, regexp_replace(replace(left(html, 3000), '\h', chr(160)), '<[^>]*>|\{[^}]*\}', '', 'g') AS t FROM pages) SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS plain FROM s""")
+@query(r"""WITH s AS (SELECT page_id, regexp_replace(replace(html, '\h', chr(160)), '<[^>]*>|\{[^}]*\}', '', 'g') AS t FROM pages) SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS plain FROM s""")
 def f06_plain_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.plain(F.substring("html", 1, 3000)).alias("plain"))
+    return table(spark, sf_dir, "pages").select("page_id", text.plain(F.col("html")).alias("plain"))
 
 
 @query("SELECT doc_id, md5(text) AS md5 FROM documents")

@@ -169,13 +169,13 @@ def s07_ivf_packets(spark, sf_dir):
     return containers.demux_files(files)
 
 
-@query("SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(CAST(x * 32767 AS SMALLINT) AS DOUBLE) / 32768) AS samples FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: CAST(CAST(x * 32767 AS SMALLINT) AS DOUBLE) / 32768) AS samples FROM embeddings")
 def f08_samples(spark, sf_dir):
     """Little-endian PCM bytes to floating point."""
     from ..functions import pcm
 
     short = lambda x: F.bround(x.cast("float") * F.lit(32767.0).cast("float")).cast("long")
-    hexed = F.transform(F.slice("embedding", 1, 4), lambda x: F.lpad(F.hex(F.pmod(short(x), F.lit(65536))), 4, "0"))
+    hexed = F.transform("embedding", lambda x: F.lpad(F.hex(F.pmod(short(x), F.lit(65536))), 4, "0"))
     raw = F.unhex(F.array_join(F.transform(hexed, lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))), ""))
     return table(spark, sf_dir, "embeddings").select("vec_id", pcm.decoder("S16")(raw).alias("samples"))
 
@@ -189,21 +189,30 @@ def f16_reduced(spark, sf_dir):
     return l.withColumn("r", pcm.reduce(F.col("num"), F.col("den"))).select("num", "den", F.col("r.num").alias("rnum"), F.col("r.den").alias("rden"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, hex(encode(text)) AS h, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL), v AS (SELECT *, unnest(range(20)) AS i FROM d),
+p AS (SELECT *, CASE i WHEN 16 THEN 0 WHEN 17 THEN n // 2 WHEN 18 THEN 3 ELSE n - 1 END AS spot, least((i - 12) * (n // 4), n - 1) AS z FROM v),
+m AS (SELECT doc_id, i, CASE WHEN n = 0 THEN '' WHEN i < 8 THEN substr(h, 1, 2 * greatest(1, n // ([1, 1, 2, 4, 8, 16, 32, 64])[i + 1]))
+ WHEN i < 12 THEN array_to_string(list_transform(regexp_extract_all(h, '..'), lambda x, k: CASE WHEN k <= 65536 AND (k - 1) % (7 + 3 * (i - 8)) = 0 THEN printf('%02X', 255 - CAST('0x' || x AS INT)) ELSE x END), '')
+ WHEN i < 16 THEN substr(h, 1, 2 * z) || repeat('00', least(4096, n - z)) || substr(h, 2 * least(z + 4096, n) + 1)
+ WHEN spot >= n THEN h ELSE substr(h, 1, 2 * spot) || printf('%02X', 255 - CAST('0x' || substr(h, 2 * spot + 1, 2) AS INT)) || substr(h, 2 * spot + 3) END AS hx FROM p)
+SELECT doc_id, CAST(i AS INTEGER) AS mutation, md5(unhex(hx)) AS md5 FROM m""")
 def f15_mutations(spark, sf_dir):
     """Twenty damaged versions of each file."""
     from ..functions import pcm
 
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.encode("text", "UTF-8").alias("content"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.encode("text", "UTF-8").alias("content")).filter("content IS NOT NULL")
     return pcm.mutated(d, "content").select("doc_id", "mutation", F.md5("content").alias("md5"))
 
 
-@query("SELECT 'fate:a.mkv' AS path, 1 AS n_rows UNION ALL SELECT 'gen:b.ogg', 2")
+@query("SELECT 'gen:' || lower(n_name) AS path, [r_name, 'row ' || n_nationkey] AS rows, CAST(n_nationkey % 3 AS INTEGER) AS audio FROM nation JOIN region ON r_regionkey = n_regionkey")
 def s10_manifest(spark, sf_dir):
-    text = '[[sample]]\npath = "fate:a.mkv"\nrows = ["video:x"]\ncompare = ["video:md5"]\n[[sample]]\npath = "gen:b.ogg"\nrows = ["audio:y", "audio:z"]\n[sample.streams]\naudio = 1\n'
-    entries, errors = records.read_manifest(spark, text, ["video:x", "audio:y", "audio:z"])
+    """Entries of a manifest, which is a configuration: here with one for each nation, a table of fixed size."""
+    found = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    entry = F.format_string('[[sample]]\npath = "gen:%s"\nrows = ["%s", "row %d"]\ncompare = ["video:md5"]\n[sample.streams]\naudio = %d\n', F.lower("n_name"), F.col("r_name"), F.col("n_nationkey"), F.col("n_nationkey") % 3)
+    rows = found.select(entry.alias("entry"), F.array("r_name", F.concat(F.lit("row "), F.col("n_nationkey").cast("string"))).alias("rows")).collect()
+    entries, errors = records.read_manifest(spark, "".join(r["entry"] for r in rows), [x for r in rows for x in r["rows"]])
     assert not errors
-    return entries.select("path", F.size("rows").alias("n_rows"))
+    return entries.select("path", "rows", F.col("streams")["audio"].alias("audio"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 3 = 0 THEN 'amr' END AS container, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS packets, doc_id % 3 = 0 AS ok FROM documents")
