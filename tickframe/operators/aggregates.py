@@ -12,20 +12,20 @@ def lane_span(df: DataFrame, by: list[str], order: str, at: str, size: str) -> D
     return df.groupBy(*by).agg(F.greatest(F.max_by(at, timed) - F.min_by(at, timed), F.lit(0)).alias("span"), F.sum(size).alias("bytes"))
 
 
-def upper_median(c: Column) -> Column:
+def upper_median(c: str) -> Column:
     """The element at n / 2 of the sorted values: of an even number the upper middle one.
 
-    Values of a group are gathered: for groups of a bounded number of repeats, as runs of a benchmark are."""
-    v = F.array_sort(F.collect_list(c))
-    return F.try_element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
+    That is the first value up to which more than half of the rows lie.  Spark counts a group's rows by value, tasks first, so what is
+    held is its different values."""
+    return F.expr(f"percentile_disc({0.5 + 1e-12!r}) WITHIN GROUP (ORDER BY `{c}`)")
 
 
 def median_row(df: DataFrame, by: list[str], value: str, order: str, *columns: str) -> DataFrame:
     """The row that holds the upper median; of equal ones the first in order."""
-    rows = F.array_sort(F.collect_list(F.struct(value, order, *columns)))
-    found = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(rows.alias("_rows")).withColumn("_m", F.try_element_at("_rows", (F.floor(F.size("_rows") / 2) + 1).cast("int")))
-    first = F.element_at(F.filter("_rows", lambda r: r[value] == F.col("_m")[value]), 1)
-    return found.withColumn("_r", first).select(*by, *(F.col("_r")[c].alias(c) for c in (value, order, *columns)))
+    medians = df.groupBy(*by).agg(upper_median(value).alias("_m")).select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_m")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    at = df.join(medians, [*same, F.col(value) == F.col("_m")])
+    return at.groupBy(*by).agg(F.min(F.struct(order, value, *columns)).alias("_r")).select(*by, *(F.col("_r")[c].alias(c) for c in (value, order, *columns)))
 
 
 def merge_entries(df: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -68,6 +68,11 @@ def read_ahead(df: DataFrame, by: list[str], at: str, now: str, span: int, most:
     return within_budget(near, by, [F.col(at).desc(), F.col("seq").desc()], size, most)
 
 
+def display_positions(df: DataFrame, by: list[str], shown: list[str]) -> DataFrame:
+    """The place of each picture in display order, from 0."""
+    return df.withColumn("position", (F.row_number().over(Window.partitionBy(*by).orderBy(*shown)) - 1).cast("long"))
+
+
 def decisive(df: DataFrame, by: list[str], order: str, poc: str, stamp: str) -> DataFrame:
     """Whether stamps contradict the display order: the first row below the largest picture order so far decides, ``Repair`` if
     its stamp is above that picture's, else ``Trust``; ``Undecided`` without one."""

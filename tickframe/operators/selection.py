@@ -11,9 +11,20 @@ def top(df: DataFrame, by: list[str], order: list[Column], most: int) -> DataFra
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
 
 
-def ranked(df: DataFrame, value: Column, tie: str) -> DataFrame:
-    """Places by rising value, those without one last.  Meant for reports: one row an input."""
-    return df.withColumn("position", F.rank().over(Window.orderBy(F.coalesce(value, F.lit(float("inf"))), tie)))
+def ranked(df: DataFrame, value: Column, tie: str, parts: int = 64) -> DataFrame:
+    """Places by rising value, those without one last.
+
+    Values are cut into ranges at about ``parts`` of their quantiles, which are measured first.  A row's place is that in its
+    range and the number of rows in the ranges before, so no task has all rows."""
+    rows = df.withColumn("_value", F.coalesce(value.cast("double"), F.lit(float("inf"))))
+    cuts = sorted(set(rows.select(F.percentile_approx("_value", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
+    part = F.lit(0) if not cuts else sum((F.col("_value") > c).cast("int") for c in cuts)
+    rows = rows.withColumn("_part", part)
+    # one row a range
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_rank", F.rank().over(Window.partitionBy("_part").orderBy("_value", tie))).join(F.broadcast(before), "_part")
+    return placed.withColumn("position", (F.col("_rank") + F.col("_before")).cast("int")).drop("_value", "_part", "_rank", "_before")
 
 
 def first_best(df: DataFrame, by: list[str], value: str, order: str, *columns: str) -> DataFrame:

@@ -1,32 +1,51 @@
 """Left folds over the rows of a stream that no window function expresses.
 
-Each is a generator over one group's rows in order; ``fold`` runs it by group.  What it holds is
-bounded by the operator's own window (a reorder buffer, the packets not yet used up), but a
-group's rows meet in one task: cut streams into segments at key packets first where one stream is most of the input.
+Each is a generator over one group's rows in order; ``fold`` runs it.  Rows are dealt by group, sorted there
+by Spark, which spills, and read batch by batch, so that a worker holds the operator's own window (a reorder buffer,
+the packets not yet used up) and not the stream.  A stream is one task, as a fold needs the row before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import namedtuple
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
+from itertools import groupby, islice
 
 from pyspark.sql import DataFrame
 
+from ..session import ship
 
-def fold(df: DataFrame, by: list[str], order: list[str], schema: str, step: Callable) -> DataFrame:
-    """Applies ``step(rows) -> rows`` (tuples by column order) to each group's rows in order."""
-    import pandas as pd
+#: Rows handed on at once.
+CHUNK = 8192
+
+
+def sorted_groups(df: DataFrame, by: list[str], order: list[str], schema: str, each: Callable[[Iterator], Iterator[tuple]]) -> DataFrame:
+    """``each(rows in order) -> tuples`` for every group; rows have the columns of ``df`` as attributes."""
+    from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
-    names = [f.name for f in StructType.fromDDL(schema)]
+    ship(df.sparkSession)
+    fields = StructType.fromDDL(schema).fields
+    names, types = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+    at = [df.columns.index(c) for c in by]
     columns = df.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").astype(object).where(pdf.notna(), None)[columns]
-        out = pd.DataFrame(list(step(rows.itertuples(index=False, name="Row"))), columns=names)
-        return out.convert_dtypes()
+    def run(batches):
+        import pyarrow as pa
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+        row = namedtuple("Row", columns)
+        rows = (row(*values) for batch in batches for values in zip(*(c.to_pylist() for c in batch.columns)))
+        out = (found for _, group in groupby(rows, key=lambda r: [r[i] for i in at]) for found in each(group))
+        while part := list(islice(out, CHUNK)):
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(zip(*part), types)], names=names)
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def fold(df: DataFrame, by: list[str], order: list[str], schema: str, step: Callable) -> DataFrame:
+    """Applies ``step(rows) -> rows`` (tuples by column order) to each group's rows in order."""
+    return sorted_groups(df, by, order, schema, step)
 
 
 def _clock(rows):

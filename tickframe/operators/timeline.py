@@ -37,6 +37,27 @@ def trusted_end(df: DataFrame, by: list[str], order: str, end: str, leap: int) -
     return df.filter(F.col(end).isNotNull()).groupBy(*by).agg(pairs.alias("_p"), F.max(end).alias("horizon")).select(*by, F.aggregate("_p", start, step).alias("trusted_end"), "horizon")
 
 
+def master_clock(df: DataFrame, by: list[str], order: list[str], at: str, action: str, to: str, audio: str) -> DataFrame:
+    """``position`` at each row: the audio clock's where there is one, else that of a clock which runs freely between ``play`` and
+    ``pause`` rows and is set by ``seek`` rows; null before it was first started or set."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turn = F.when(F.col(action).isin("play", "pause"), F.col(action))
+    running = F.coalesce(F.last(turn, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) == "play", F.lit(False))
+    seek = F.col(action) == "seek"
+    rows = df.withColumn("_ran", F.when(running, F.greatest(F.col(at) - F.lag(at).over(w), F.lit(0))).otherwise(0)).withColumn("_since", F.sum(seek.cast("int")).over(so_far))
+    rows = rows.withColumn("_started", F.max((seek | (F.col(action) == "play")).cast("int")).over(so_far) == 1)
+    island = Window.partitionBy(*by, "_since").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    free = F.coalesce(F.max(F.when(seek, F.col(to))).over(island), F.lit(0)) + F.sum(F.when(seek, 0).otherwise(F.col("_ran"))).over(island)
+    return rows.withColumn("position", F.coalesce(F.col(audio), F.when(F.col("_started"), free))).drop("_ran", "_since", "_started")
+
+
+def selected(df: DataFrame, by: list[str], order: str, select: str, track: str) -> DataFrame:
+    """Rows of the track that the last control row (``select`` not null) before them named; control rows don't pass."""
+    playing = F.last(select, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("_playing", playing).filter(F.col(select).isNull() & (F.col(track) == F.col("_playing"))).drop("_playing")
+
+
 def newest(df: DataFrame, by: list[str], generation: str) -> DataFrame:
     """Rows of the newest generation; the newest is a sum by key, so that a long group isn't sorted."""
     top = df.groupBy(*by).agg(F.max(generation).alias("_top"))

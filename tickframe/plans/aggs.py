@@ -38,7 +38,7 @@ def a04_lossy_slack(spark, sf_dir):
 
 @query("SELECT user_id AS input, list_sort(list(value))[len(list(value)) // 2 + 1] AS median FROM events GROUP BY ALL")
 def a05_upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("input")).agg(aggregates.upper_median(F.col("value")).alias("median"))
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("input")).agg(aggregates.upper_median("value").alias("median"))
 
 
 @query("""WITH r AS (SELECT l_partkey AS input, l_quantity AS speed, l_orderkey * 10 + l_linenumber AS run, l_shipdate AS payload FROM lineitem), m AS (SELECT input, list_sort(list(speed))[len(list(speed)) // 2 + 1] AS speed FROM r GROUP BY ALL)

@@ -60,7 +60,7 @@ def j05_table_lookup(spark, sf_dir):
     """A packet table searched by frame number: the last entry at or before it."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("stream"), F.col("o_orderkey").alias("pos"), F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'1990-01-01 00:00:00', o_orderdate)").alias("frame"))
     entries = o.filter("pos % 2 = 0").withColumn("entry", F.col("pos"))
-    return asof.asof(o.filter("pos % 2 = 1").select("stream", F.col("pos").alias("seq"), "frame"), entries, ["stream"], "frame", ["entry"], tie="entry")
+    return asof.asof(o.filter("pos % 2 = 1").select("stream", F.col("pos").alias("seq"), "frame"), entries, ["stream"], "frame", ["entry"], tie="entry", span=365)
 
 
 @query(f"""WITH t AS (SELECT stream, min(us) + (max(us) - min(us)) * f // 4 AS target FROM {PACKETS_SQL}, (VALUES (0), (1), (2), (3), (4)) v(f) GROUP BY stream, f)
@@ -68,9 +68,8 @@ SELECT t.stream, t.target, p.seq AS landed FROM t ASOF LEFT JOIN {PACKETS_SQL} p
 def j06_interpolated_search(spark, sf_dir):
     """What a bisection over byte positions finds: the last packet at or before a target."""
     p = packets(spark, sf_dir)
-    quarters = values(spark, "f", "(0), (1), (2), (3), (4)")
-    t = p.groupBy("stream").agg(F.min("us").alias("lo"), F.max("us").alias("hi")).join(F.broadcast(quarters), F.lit(True)).select("stream", F.expr("lo + ((hi - lo) * f) div 4").alias("target"))
-    return asof.asof(t, p.select("stream", F.col("us").alias("target"), F.col("seq").alias("landed")), ["stream"], "target", ["landed"])
+    t = p.groupBy("stream").agg(F.min("us").alias("lo"), F.max("us").alias("hi")).select("stream", "lo", "hi", F.explode(F.array(*map(F.lit, range(5)))).alias("f")).select("stream", F.expr("lo + ((hi - lo) * f) div 4").alias("target"))
+    return asof.asof(t, p.select("stream", F.col("us").alias("target"), F.col("seq").alias("landed")), ["stream"], "target", ["landed"], span=DAY)
 
 
 @query("""WITH a AS (SELECT o_custkey AS file, o_orderpriority AS kind, o_orderkey AS track, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderstatus <> 'P'),

@@ -111,7 +111,7 @@ def r18_unit_framing(spark, sf_dir):
     """A unit has the time of the chunk that holds its first byte."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), "n_chars").filter("n_chars > 0")
     cut = lambda step: d.select("stream", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars") - 1, F.lit(step).cast("long"))).alias("place"))
-    return asof.asof(cut(301), cut(188).withColumn("pts", F.col("place") * 10), ["stream"], "place", ["pts"])
+    return asof.asof(cut(301), cut(188).withColumn("pts", F.col("place") * 10), ["stream"], "place", ["pts"], span=1 << 16)
 
 
 @query()
@@ -138,7 +138,6 @@ def r07_buffering(spark, sf_dir):
 @query(f"""WITH p AS (SELECT stream, seq, keyframe, bytes % 3 AS track, CASE WHEN keyframe THEN bytes % 3 END AS sel FROM {PACKETS_SQL}), s AS (SELECT *, last_value(sel IGNORE NULLS) OVER (PARTITION BY stream ORDER BY seq) AS playing FROM p)
 SELECT stream, seq, track FROM s WHERE NOT keyframe AND track = playing""")
 def r11_selection_switch(spark, sf_dir):
-    from ..streaming import machines
-
+    """Packets of the track chosen last; ``machines.selection`` is the same over a stream."""
     p = packets(spark, sf_dir).select("stream", "seq", F.when(F.col("keyframe"), F.col("bytes") % 3).alias("select"), (F.col("bytes") % 3).alias("track"))
-    return machines.run_batch(p, "stream", "seq", machines.selection)
+    return timeline.selected(p, ["stream"], "seq", "select", "track").select("stream", "seq", "track")

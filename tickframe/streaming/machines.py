@@ -1,7 +1,7 @@
 """State machines over a stream's rows in order.
 
 A machine is ``initial()`` and ``step(state, row) -> rows``; the state is a plain dict that JSON holds, of
-bounded size.  ``run_batch`` folds one over each group of a table, ``run_stream`` over a streaming one, with the state kept
+bounded size.  ``run_batch`` folds one over each group of a table, reading the sorted rows batch by batch, ``run_stream`` over a streaming one, with the state kept
 by Spark between micro-batches; both give the same rows for rows that arrive in order.
 """
 
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from ..operators.stateful import sorted_groups
+
 #: Batches that may wait, and ticks of the buffering rules.
 WAITING = 16
 AHEAD_AT_START, AHEAD_AFTER_STARVING = 1_000_000, 2_500_000
@@ -106,16 +108,17 @@ def _schema(df: DataFrame, by: str, machine: Machine) -> str:
 
 
 def run_batch(df: DataFrame, by: str, order: str, machine: Machine) -> DataFrame:
-    columns, schema = df.columns, _schema(df, by, machine)
-    names = [f.name for f in StructType.fromDDL(schema)]
-
-    def run(key, pdf):
-        state, found = machine.initial(), []
-        for row in _rows(pdf.sort_values(order), columns):
-            found += machine.step(state, row)
-        return _frame(key, [*found, *machine.finish(state)], names)
-
-    return df.groupBy(by).applyInPandas(run, schema)
+    def each(rows):
+        state, key = machine.initial(), None
+        for r in rows:
+            row = r._asdict()
+            key = row[by]
+            for found in machine.step(state, row):
+                yield (key, *found)
+        for found in machine.finish(state):
+            yield (key, *found)
+
+    return sorted_groups(df, [by], [order], _schema(df, by, machine), each)
 
 
 def run_stream(df: DataFrame, by: str, order: str, machine: Machine, idle_ms: int | None = None) -> DataFrame:
