@@ -99,6 +99,105 @@ def sup(data: bytes) -> Iterator[Packet]:
             start, pts = at, None
 
 
+@demuxer("tta", lambda b: b[:4] == b"TTA1")
+def tta(data: bytes) -> Iterator[Packet]:
+    """Lossless audio: a table of frame sizes, each but the last of 256 / 245 seconds."""
+    rate, samples = struct.unpack_from("<II", data, 10)
+    length = rate * 256 // 245
+    count = -(-samples // length)
+    at = 22 + 4 * count + 4
+    for n, size in enumerate(struct.unpack_from(f"<{count}I", data, 22)):
+        if at + size > len(data):
+            return
+        yield 0, n * length, min(length, samples - n * length), True, data[at : at + size], 1, rate
+        at += size
+
+
+#: Sampling rates by index.
+WAVPACK_RATES = (6000, 8000, 9600, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000, 64000, 88200, 96000, 192000)
+
+
+@demuxer("wv", lambda b: b[:4] == b"wvpk")
+def wavpack(data: bytes) -> Iterator[Packet]:
+    """Blocks of samples; those of several channel pairs at one time are one packet, from a first to a final block."""
+    at, start = 0, 0
+    while at + 32 <= len(data) and data[at : at + 4] == b"wvpk":
+        size, = struct.unpack_from("<I", data, at + 4)
+        index, samples, flags = struct.unpack_from("<III", data, at + 16)
+        start = at if flags & 0x800 else start
+        at += size + 8
+        if at > len(data):
+            return
+        if flags & 0x1000 and samples:
+            yield 0, index, samples, True, data[start:at], 1, WAVPACK_RATES[flags >> 23 & 15]
+
+
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = 0
+    while data[at] & 0x80:
+        value, at = value << 7 | data[at] & 0x7F, at + 1
+    return value << 7 | data[at], at + 1
+
+
+@demuxer("caf", lambda b: b[:4] == b"caff")
+def caf(data: bytes) -> Iterator[Packet]:
+    """Packets of one size each, or of those in the packet table."""
+    at, chunks = 8, {}
+    while at + 12 <= len(data):
+        size, = struct.unpack_from(">q", data, at + 4)
+        stop = len(data) if size < 0 else at + 12 + size
+        chunks.setdefault(data[at : at + 4], data[at + 12 : stop])
+        at = stop
+    rate, _, _, each, frames, *_ = struct.unpack_from(">d4sIIIII", chunks[b"desc"])
+    body, done, start = chunks.get(b"data", b"")[4:], 0, 0
+    if each:
+        sizes = ((each, frames) for _ in range(len(body) // each))
+    else:
+        sizes = _packet_table(chunks[b"pakt"], frames)
+    for size, length in sizes:
+        if start + size > len(body):
+            return
+        yield 0, done, length, True, body[start : start + size], 1, int(rate)
+        start, done = start + size, done + length
+
+
+def _packet_table(table: bytes, frames: int) -> Iterator[tuple[int, int]]:
+    at = 24
+    for _ in range(struct.unpack_from(">q", table)[0]):
+        size, at = _varint(table, at)
+        length = frames
+        if not frames:
+            length, at = _varint(table, at)
+        yield size, length
+
+
+#: Sampling rates and, two codes each, bit rates in kbit/s.
+AC3_RATES = (48000, 44100, 32000)
+AC3_KBITS = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640)
+AC3_SAMPLES = 1536
+
+
+@demuxer("ac3", lambda b: b[:2] == b"\x0b\x77")
+def ac3(data: bytes) -> Iterator[Packet]:
+    """Frames of 1536 samples; what lies between frames is skipped."""
+    at, n = data.find(b"\x0b\x77"), 0
+    while 0 <= at and at + 5 <= len(data):
+        rate_code, size_code = data[at + 4] >> 6, data[at + 4] & 63
+        if rate_code < 3 and size_code < 2 * len(AC3_KBITS) and data[at + 5] >> 3 <= 10:
+            rate, bits = AC3_RATES[rate_code], AC3_KBITS[size_code // 2] * 1000 * AC3_SAMPLES
+            # in words of 16 bits; where that is no whole number, odd codes have one more
+            size = 2 * (bits // (rate * 16) + (size_code & 1 if rate == 44100 else 0))
+            if at + size > len(data):
+                return
+            yield 0, n * AC3_SAMPLES, AC3_SAMPLES, True, data[at : at + size], 1, rate
+            at, n = at + size, n + 1
+            if data[at : at + 2] == b"\x0b\x77":
+                continue
+        else:
+            at += 1
+        at = data.find(b"\x0b\x77", at)
+
+
 def _start_codes(data: bytes) -> Iterator[bytes]:
     at = data.find(b"\0\0\1")
     while at >= 0:
@@ -125,7 +224,7 @@ def packets_of(data: bytes) -> tuple[str | None, list[tuple], str | None]:
     try:
         for i, (stream, pts, duration, key, body, num, den) in enumerate(DEMUXERS[name][1](data) if name else ()):
             rows.append((i, stream, pts, duration, key, len(body), num, den))
-    except (struct.error, IndexError, ZeroDivisionError) as error:
+    except (struct.error, IndexError, KeyError, ZeroDivisionError) as error:
         return name, rows, f"{type(error).__name__}: {error}"
     return name, rows, None if name else "no container"
 

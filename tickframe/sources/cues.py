@@ -48,19 +48,45 @@ def _us(h, m, s, fraction: str = "0") -> int:
     return ((int(h or 0) * 60 + int(m)) * 60 + int(s)) * 1_000_000 + int(digits)
 
 
-_SRT = re.compile(r"^\s*(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+).*$", re.M)
+_SRT = re.compile(r"\s*(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+)")
+_NUMBER = re.compile(r"\s*\+?\d+")
+
+
+def _srt_time(h: str, m: str, s: str, ms: str) -> int:
+    """The last part counts milliseconds, however many digits it has."""
+    return (((int(h) * 60 + int(m)) * 60 + int(s)) * 1000 + int(ms)) * 1000
 
 
 @parser("srt")
 def srt(text: str) -> Iterator[Cue]:
-    marks = list(_SRT.finditer(text))
-    for i, m in enumerate(marks):
-        body = text[m.end() : marks[i + 1].start() if i + 1 < len(marks) else len(text)].strip("\n")
-        if i + 1 < len(marks):
-            # the next cue's number belongs to it
-            body = re.sub(r"\n\s*\d+\s*$", "", "\n" + body)[1:] if re.search(r"(^|\n)\s*\d+\s*$", body) else body
-        g = m.groups()
-        yield _us(*g[:4]), _us(*g[4:]), body.strip("\n ")
+    """Timing lines divide cues; blank lines don't, and aren't kept.  A line that begins with a number is text only
+    if text follows it, as the next cue's number doesn't; at the end of the file it is text, and so
+    is one that isn't a number alone where the cue has no other text.  Cues without text are left out."""
+    cue: tuple[int, int] | None = None
+    body: list[str] = []
+    number: str | None = None
+    for line in [*text.split("\n"), None]:
+        if not line and line is not None:
+            continue
+        m = _SRT.match(line) if line is not None else None
+        if line is not None and not m:
+            if cue is None:
+                continue
+            if number is not None:
+                body.append(number)
+            number = line if _NUMBER.match(line) else None
+            if number is None:
+                body.append(line)
+            continue
+        if cue is not None:
+            alone = number is not None and _NUMBER.fullmatch(number)
+            if number is not None and (line is None or not (body or alone)):
+                body.append(number)
+            if body:
+                yield *cue, "\n".join(body)
+        if m:
+            g = m.groups()
+            cue, body, number = (_srt_time(*g[:4]), _srt_time(*g[4:])), [], None
 
 
 _VTT = re.compile(r"(?:(\d+):)?(\d{2}):(\d{2})\.(\d{3})\s+-->\s+(?:(\d+):)?(\d{2}):(\d{2})\.(\d{3})")
@@ -199,10 +225,13 @@ def _inner(e) -> str:
 
 @parser("ttml")
 def ttml(text: str) -> Iterator[Cue]:
+    """Paragraphs by their begin, in document order where that is the same."""
+    found = []
     for p in _elements(text, "p"):
         begin, end, length = (_clock(p.get(k)) for k in ("begin", "end", "dur"))
         begin = begin or 0
-        yield begin, end if end is not None else begin + length if length is not None else None, re.sub(r"[ \t]*\n[ \t]*", "\n", _inner(p)).strip()
+        found.append((begin, end if end is not None else begin + length if length is not None else None, re.sub(r"[ \t]*\n[ \t]*", "\n", _inner(p)).strip()))
+    yield from sorted(found, key=lambda cue: cue[0])
 
 
 @parser("usf")

@@ -41,6 +41,58 @@ def journal(df: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Monitor:
+    """A handle on a streaming query: suspend and resume it from its checkpoint, stop it, and hear when it waits for data.
+
+    ``start`` starts the query; it is called again to resume, so its checkpoint has to be the same each time."""
+
+    def __init__(self, start: Callable[[], StreamingQuery]):
+        self.start, self.stopped, self.listener = start, False, None
+        self.query: StreamingQuery | None = start()
+
+    def suspend(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+            self.query = None
+
+    def resume(self) -> None:
+        if self.stopped:
+            raise RuntimeError("the query was stopped")
+        if self.query is None:
+            self.query = self.start()
+
+    def stop(self) -> None:
+        self.suspend()
+        self.stopped = True
+
+    def on_starved(self, spark: SparkSession, hook: Callable[[bool], None]) -> None:
+        """``hook(True)`` once a trigger finds nothing new, ``hook(False)`` once rows come again."""
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        monitor, waiting = self, [False]
+
+        def tell(run, now: bool) -> None:
+            if monitor.query is not None and str(run) == str(monitor.query.runId) and waiting[0] != now:
+                waiting[0] = now
+                hook(now)
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryIdle(self, event):
+                tell(event.runId, True)
+
+            def onQueryProgress(self, event):
+                tell(event.progress.runId, event.progress.numInputRows == 0)
+
+            def onQueryTerminated(self, event):
+                pass
+
+        self.listener = Listener()
+        spark.streams.addListener(self.listener)
+
+
 def tap(df: DataFrame, name: str, *measures: Column) -> DataFrame:
     """Measures rows that pass without changing them."""
     return df.observe(name, *measures)
