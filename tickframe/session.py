@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -13,7 +14,7 @@ _shipped: set[str] = set()
 
 def session(name: str = "tickframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for; a cluster's own settings stay."""
-    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -37,4 +38,6 @@ def ship(spark: SparkSession) -> None:
                         path = os.path.join(folder, file)
                         archive.write(path, os.path.join(name, os.path.relpath(path, top)))
     context.addPyFile(handle.name)
+    # executors fetch it from here as long as the application runs
+    atexit.register(lambda: os.path.exists(handle.name) and os.unlink(handle.name))
     _shipped.add(context.applicationId)
