@@ -8,7 +8,7 @@ import pytest
 
 from tickframe.plans import registry
 
-for name in ("aggs", "formats", "joins", "projections", "scans", "streams", "windows"):
+for name in ("aggs", "captures", "formats", "joins", "projections", "scans", "streams", "windows"):
     importlib.import_module(f"tickframe.plans.{name}")
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -41,3 +42,34 @@ def ship(spark: SparkSession) -> None:
     # executors fetch it from here as long as the application runs
     atexit.register(lambda: os.path.exists(handle.name) and os.unlink(handle.name))
     _shipped.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all machines share.  Only where that setting is absent and
+    everything runs on one machine, as in tests, it is a temporary one; on a cluster that is an error."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    where = context.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        where = os.path.join(tempfile.gettempdir(), f"checkpoints-{context.applicationId}")
+    context.setCheckpointDir(where)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(where, True)
+    files.cancelDeleteOnExit(where)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
-def tail(spark: SparkSession, path: str, schema: str, files_per_batch: int = 8) -> DataFrame:
+def tail(spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int = 8) -> DataFrame:
     """New Parquet files of a folder; the number taken at once is the backpressure."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
@@ -30,6 +31,11 @@ def capture(df: DataFrame, name: str, checkpoint: str, mode: str = "append") ->
     return df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def capture_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """All there is now, to Parquet files, which a capture of any size needs; each row once."""
+    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def journal(df: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Appends each batch once: a batch is a folder named by its number and is written over when repeated."""
 
@@ -93,6 +99,6 @@ class Monitor:
         spark.streams.addListener(self.listener)
 
 
-def tap(df: DataFrame, name: str, *measures: Column) -> DataFrame:
+def tap(df: DataFrame, name: str | Observation, *measures: Column) -> DataFrame:
     """Measures rows that pass without changing them."""
     return df.observe(name, *measures)
