@@ -8,15 +8,12 @@ one very long text at a time.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import delete_folder, new_folder, shared_folder, ship
 
 #: What a "word" is everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,26 +80,10 @@ def text_or_empty(df: DataFrame, column: str = "text"):
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all machines share.  Only where that setting is absent and
-    everything runs on one machine, as in tests, it is a temporary one; on a cluster that is an error."""
-    context = spark.sparkContext
-    found = context._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    where = context.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        where = os.path.join(tempfile.gettempdir(), f"checkpoints-{context.applicationId}")
-    context.setCheckpointDir(where)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table of any types: write it once to the shared folder and go on from the files.
     Those go with the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -110,11 +91,8 @@ def keep(df: DataFrame) -> DataFrame:
     """The same for an intermediate table, as Parquet: its size is known to the planner, its small files are read by few
     tasks, and ``drop`` deletes it.  What isn't dropped goes when the application ends."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = f"{_shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     found = spark.read.schema(df.schema).parquet(path)
     found.kept_path = path
     return found
@@ -125,9 +103,7 @@ def drop(*tables: DataFrame) -> None:
     for df in tables:
         path = df.__dict__.get("kept_path")
         if path:
-            context = df.sparkSession.sparkContext
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            delete_folder(df.sparkSession, path)
 
 
 class Memo(dict):
