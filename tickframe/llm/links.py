@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .runtime import drop, keep, slices
 
-ROUNDS, SMALL, PAIRWISE = 3, 500_000, 64
+ROUNDS, SMALL, PAIRWISE = 2, 500_000, 64
 #: Members of a block on average, and the sum of their sizes.
 BLOCK_MEMBERS, BLOCK_SIZE = 768, 1_500_000
 
@@ -192,7 +192,7 @@ def resolve(entries: DataFrame, payloads: Callable[[DataFrame], DataFrame], conf
     drop(keys)
     central = keep(shared.groupBy("node").agg(F.sum("members").alias("weight")))
     pool = payloads(central.select("node"))
-    rows = keep(shared.join(central.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).drop("n", "members"))
+    rows = keep(shared.join(central.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).drop("n").withColumnRenamed("members", "entries"))
     drop(shared, central)
     labels: DataFrame | None = None
     links: list[DataFrame] = [keep(known)] if known is not None else []
@@ -221,35 +221,37 @@ def resolve(entries: DataFrame, payloads: Callable[[DataFrame], DataFrame], conf
     labels = _hooked(labels, stars(labelled(rows), by_weight))
 
     def unsettled(rows: DataFrame, more: int) -> DataFrame:
-        """Rows of buckets of more than that many members and several components, with the members and the first centre."""
-        own = labelled(rows)
+        """Rows of buckets of more than that many members and several components, with their labels, the members and the first centre."""
+        own = keep(labelled(rows.filter(f"entries > {more}")))
         mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.min(F.struct(-F.col("weight"), "node")).alias("c"))
         mixed = keep(mixed.filter(f"low < high AND members > {more}").select(F.col("key").alias("mixed_key"), "members", F.col("c.node").alias("centre")))
-        found = keep(among(rows, "key", mixed, ("members", "centre")))
-        drop(mixed)
+        found = keep(among(own, "key", mixed, ("members", "centre")))
+        drop(own, mixed)
         return found
 
     rest = unsettled(rows, 2)
     drop(rows)
     large = rest.filter(f"members > {PAIRWISE}")
     if not large.isEmpty():
+        dense = large
         for turn in range(ROUNDS - 1):
             alone = (F.col("label") != F.col("node")).cast("int")
             order = [alone, *by_weight] if turn == 0 else [alone, F.xxhash64("node", F.lit(turn)), F.col("node")]
-            labels = _hooked(labels, stars(labelled(large), order))
-        dense = unsettled(large.drop("members", "centre"), PAIRWISE)
+            labels = _hooked(labels, stars(dense, order))
+            before, dense = dense, unsettled(dense.drop("members", "centre", "label"), PAIRWISE)
+            drop(before)
         if not dense.isEmpty():
-            groups = _groups(labelled(dense))
+            groups = _groups(dense)
             links.append(keep(compare_blocks(groups, pool, prepare, linked)))
             drop(groups)
             labels = _hooked(labels, links[-1])
         drop(dense)
-    few = labelled(rest.filter(f"members <= {PAIRWISE} AND node <> centre"))
+    few = keep(labelled(rest.filter(f"members <= {PAIRWISE} AND node <> centre").drop("label")))
     checked(member(few, "_a").join(member(few, "_b"), "key").filter("node_a < node_b AND label_a <> label_b").filter(fits))
     left = keep(_mapped(reduce(DataFrame.union, links), labels).distinct())
     if not left.isEmpty():
         merged = components(left)
         old, labels = labels, _relabel(labels, merged)
         drop(merged, *([old] if old is not None else []))
-    drop(left, rest, pool, *links)
+    drop(left, few, rest, pool, *links)
     return labels
