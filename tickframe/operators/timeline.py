@@ -29,12 +29,22 @@ def runs(df: DataFrame, by: list[str], order: list[str], during: Column, at: str
 def trusted_end(df: DataFrame, by: list[str], order: str, end: str, leap: int) -> DataFrame:
     """The end up to which packets follow each other without a leap, and the plain maximum.
 
-    A left fold: a packet that leaps isn't where the next is measured from.  A group's (order, end) pairs are
-    gathered, 16 bytes a packet of one stream."""
-    pairs = F.array_sort(F.collect_list(F.struct(order, end)))
-    start = F.lit(None).cast("long")
-    step = lambda t, x: F.when(t.isNull() | (x[end] <= t + leap), F.greatest(t, x[end])).otherwise(t)
-    return df.filter(F.col(end).isNotNull()).groupBy(*by).agg(pairs.alias("_p"), F.max(end).alias("horizon")).select(*by, F.aggregate("_p", start, step).alias("trusted_end"), "horizon")
+    A left fold: a packet that leaps isn't where the next is measured from."""
+    from .stateful import fold
+
+    def step(rows):
+        trusted = horizon = key = None
+        for r in rows:
+            at = r[-1]
+            key = r[: len(by)]
+            if trusted is None or at <= trusted + leap:
+                trusted = at if trusted is None else max(trusted, at)
+            horizon = at if horizon is None else max(horizon, at)
+        yield (*key, trusted, horizon)
+
+    rows = df.filter(F.col(end).isNotNull()).select(*by, order, F.col(end).cast("long").alias(end))
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in by]
+    return fold(rows, by, [order], ", ".join([*kinds, "trusted_end long", "horizon long"]), step)
 
 
 def master_clock(df: DataFrame, by: list[str], order: list[str], at: str, action: str, to: str, audio: str) -> DataFrame:
