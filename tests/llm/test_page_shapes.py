@@ -19,6 +19,7 @@ MENU = "".join(f'<a href="/{i}"><span>Item {i}</span></a><br>' for i in range(3)
         f'<body><nav>menu</nav><article class="post social">{BODY}</article></body>',
         f"<body><form><nav>menu</nav><div>{BODY}</div><select><option>a</select><footer>f</footer></form></body>",
         f'<body><article>{BODY}<div class="comments"><p>{LONG * 20}</p></div></article></body>',
+        f'<body><div>{BODY}<div id="commentList"><p>{LONG}</p></div><div class="cookieBanner">ok</div></div></body>',
         f'<body><div class="sidebar"><p>{LONG}</p></div><div>{BODY}</div></body>',
     ],
 )

@@ -50,6 +50,7 @@ NAMES = re.compile(
 HEAD_NAMES = re.compile(r"(?:^|[_-])(?:headers?|masthead|banners?)(?:$|[_-])", re.I)
 #: A layout's class such as "page with-sidebar" says what stands beside.
 BESIDE = ("with-", "has-", "no-", "is-")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements that an opening one closes, where authors leave the end out.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPES = frozenset("article section div main body table ul ol dl td th blockquote aside nav footer header form".split())
@@ -117,7 +118,7 @@ class Lines(HTMLParser):
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
                 return BY_ELEMENT
             if key in ("class", "id", "role") and value:
-                for name in value.split():
+                for name in CAMEL.sub("-", value).split():
                     if not name.startswith(BESIDE) and (NAMES.search(name) or (not inside and HEAD_NAMES.search(name))):
                         return BY_NAME
         return 0
