@@ -45,6 +45,15 @@ def test_ratios_decide(monkeypatch):
     assert all(html_text.extract(page) != TEXT for page in UNNAMED)
 
 
+def test_inline_boilerplate_and_deep_nesting():
+    page = f'<article><p>Text <button>Press</button>goes <span class="share">share</span>on.</p><p>{LONG}</p></article>'
+    assert html_text.extract(page) == f"Text goes on.\n{LONG.strip()}"
+    deep = "<div>line " * 20_000
+    assert html_text.extract(deep) == "\n".join(["line"] * 20_000)
+    assert html_text.extract('<div class="sidebar">x' * 3000 + f"<p>{LONG}") .endswith(LONG.strip())
+    assert len(html_text.extract("<" * 20_000 + f"<p>{LONG}</p>")) > 0
+
+
 def test_empty_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_text.extract_pages(none, keep=("url",)).collect() == []

@@ -64,25 +64,37 @@ FULL = 500
 BY_NAME, BY_ELEMENT = 1, 2
 
 
+class Line:
+    """A block's text in pieces, each with the innermost hinted element around it (0: none), and where the block stands."""
+
+    __slots__ = ("pieces", "chars", "tags", "linked", "region", "content")
+
+    def __init__(self, pieces: list[tuple[str, int]], chars: int, tags: int, linked: int, region: int):
+        self.pieces, self.chars, self.tags, self.linked, self.region, self.content = pieces, chars, tags, linked, region, False
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags since the line before, numbers of the open elements, characters in links) of each block."""
+    """Collects the lines of a page.  Regions and hinted elements are numbered as they open and know the one around
+    them (0: none), so that any depth of nesting costs what the page is long."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, number, never text
-        self.number = self.tags = self.silent = self.links = self.linked = 0
-        self.regions: dict[int, str] = {}
-        self.hints: dict[int, int] = {}
-        self.text: list[str] = []
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, bool, bool, bool]] = []  # name, never text, hinted, region
+        self.tags = self.silent = self.links = self.linked = self.articles = 0
+        self.regions, self.region_around, self.region = [""], [0], 0
+        self.hints, self.hint_around, self.hinted = [0], [0], 0
+        self.pieces: list[tuple[str, int]] = []
 
     def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        self.text.clear()
-        if text:
-            self.lines.append((text, max(1, self.tags), tuple(n for _, n, _ in self.open), min(len(text), self.linked)))
+        if not self.pieces:
+            self.linked = 0
+            return
+        chars = len(" ".join("".join(data for data, _ in self.pieces).split()))
+        if chars:
+            self.lines.append(Line(self.pieces, chars, max(1, self.tags), min(chars, self.linked), self.region))
             self.tags = 0
-        self.linked = 0
+        self.pieces, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -98,19 +110,22 @@ class Lines(HTMLParser):
             if tag == "br":
                 self.handle_data(" ")
             return
-        self.number += 1
-        if tag in REGIONS:
-            self.regions[self.number] = tag
-        if hint := self.hint(tag, attrs):
-            self.hints[self.number] = hint
-        silent = tag in SILENT
+        hint, is_region, silent = self.hint(tag, attrs), tag in REGIONS, tag in SILENT
+        if is_region:
+            self.regions.append(tag)
+            self.region_around.append(self.region)
+            self.region = len(self.regions) - 1
+        if hint:
+            self.hints.append(hint)
+            self.hint_around.append(self.hinted)
+            self.hinted = len(self.hints) - 1
         self.silent += silent
         self.links += tag == "a"
-        self.open.append((tag, self.number, silent))
+        self.articles += tag == "article"
+        self.open.append((tag, silent, bool(hint), is_region))
 
     def hint(self, tag: str, attrs) -> int:
-        inside = any(name == "article" for name, _, _ in self.open)
-        if tag in HINTED or (tag == "header" and not inside):
+        if tag in HINTED or (tag == "header" and not self.articles):
             return BY_ELEMENT
         if tag in ("html", "body", "main"):
             return 0
@@ -119,7 +134,7 @@ class Lines(HTMLParser):
                 return BY_ELEMENT
             if key in ("class", "id", "role") and value:
                 for name in CAMEL.sub("-", value).split():
-                    if not name.startswith(BESIDE) and (NAMES.search(name) or (not inside and HEAD_NAMES.search(name))):
+                    if not name.startswith(BESIDE) and (NAMES.search(name) or (not self.articles and HEAD_NAMES.search(name))):
                         return BY_NAME
         return 0
 
@@ -128,13 +143,20 @@ class Lines(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def closed(self, i: int) -> None:
-        self.silent -= sum(silent for _, _, silent in self.open[i:])
-        self.links -= sum(name == "a" for name, _, _ in self.open[i:])
+    def closed(self, element: tuple[str, bool, bool, bool]) -> None:
+        tag, silent, hinted, is_region = element
+        self.silent -= silent
+        self.links -= tag == "a"
+        self.articles -= tag == "article"
+        if hinted:
+            self.hinted = self.hint_around[self.hinted]
+        if is_region:
+            self.region = self.region_around[self.region]
 
     def close_from(self, i: int) -> None:
         self.flush()
-        self.closed(i)
+        for element in reversed(self.open[i:]):
+            self.closed(element)
         del self.open[i:]
 
     def handle_endtag(self, tag):
@@ -144,18 +166,17 @@ class Lines(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
-                if any(silent or name in BLOCK for name, _, silent in self.open[i:]):
+                if any(hinted or silent or name in BLOCK for name, silent, hinted, _ in self.open[i + 1 :]) or tag in BLOCK:
                     self.close_from(i)
                 else:
-                    self.links -= name == "a"
-                    del self.open[i]
+                    self.closed(self.open.pop(i))
                 return
             if name in SCOPES and tag not in SCOPES and tag not in ("html", "head"):
                 return
 
     def handle_data(self, data):
         if not self.silent:
-            self.text.append(data)
+            self.pieces.append((data, self.hinted))
             if self.links:
                 self.linked += len(data)
 
@@ -181,74 +202,100 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
-def content_lines(lines: list[tuple]) -> list[bool]:
+def content_lines(lines: list[Line]) -> list[bool]:
     """Which lines are in the upper cluster, smoothed and by themselves."""
-    ratios = np.array([min(len(line[0]), FULL) / line[1] for line in lines])
+    ratios = np.array([min(line.chars, FULL) / line.tags for line in lines])
     smoothed = smooth(ratios)
     cut = threshold(smoothed) - 1e-9
     found = (smoothed >= cut) & (ratios >= cut)
     return (found if found.any() else smoothed >= cut).tolist()
 
 
-def _standing_hints(lines: list[tuple], content: list[bool], hints: dict[int, int], regions: dict[int, str]) -> set[int]:
-    """The hinted elements that go: all, where an article or main element outside of them has text; else all but
+def _sums(values: list[float], around: list[int]) -> list[float]:
+    """Of each element with all that lies in it."""
+    for i in range(len(values) - 1, 0, -1):
+        values[around[i]] += values[i]
+    return values
+
+
+def _inside(chosen: set[int], around: list[int]) -> list[bool]:
+    """Whether each element is one of those chosen or lies in one."""
+    out = [False] * len(around)
+    for i in range(1, len(around)):
+        out[i] = i in chosen or out[around[i]]
+    return out
+
+
+def _gone(page: Lines) -> list[bool]:
+    """Of hinted elements, those that go: all, where an article or main element outside of them has text; else all but
     those without which hardly any content line is left."""
-    standing = set(hints)
-    bounds = {i for i, name in regions.items() if name in ("article", "main")}
-    strong = [(len(line[0]), line[2]) for line, is_content in zip(lines, content) if is_content]
-    total = sum(n for n, _ in strong)
+    bounded = _inside({i for i, name in enumerate(page.regions) if name in ("article", "main")}, page.region_around)
+    if not any(bounded) and len(page.hints) == 1:
+        return [False]
+    standing = set(range(1, len(page.hints)))
+    mass = [0.0] * len(page.hints)
+    for line in page.lines:
+        if line.content:
+            for data, hint in line.pieces:
+                mass[hint] += len(data)
+    own = list(mass)
+    mass, total = _sums(mass, page.hint_around), sum(mass)
     while standing:
-        left = [(n, path) for n, path in strong if standing.isdisjoint(path)]
-        bounded = any(standing.isdisjoint(line[2]) and not bounds.isdisjoint(line[2]) for line in lines)
-        if bounded or left and sum(n for n, _ in left) >= LEFT * total:
+        gone = _inside(standing, page.hint_around)
+        if any(bounded[line.region] and not all(gone[hint] for data, hint in line.pieces if not data.isspace()) for line in page.lines):
             break
-        mass: dict[int, int] = {}
-        for n, path in strong:
-            for i in standing.intersection(path):
-                mass[i] = mass.get(i, 0) + n
-        if not mass:
+        if sum(n for n, out in zip(own, gone) if not out) >= LEFT * total > 0:
             break
-        standing.remove(min(mass, key=lambda i: (-mass[i], hints[i], i)))
-    return standing
+        best = min(standing, key=lambda i: (-mass[i], page.hints[i], i))
+        if not mass[best]:
+            break
+        # those around it and in it with the same content stand or fall with it
+        within, outer = _inside({best}, page.hint_around), best
+        while outer and mass[outer] == mass[best]:
+            standing.discard(outer)
+            outer = page.hint_around[outer]
+        standing -= {i for i in standing if within[i] and mass[i] == mass[best]}
+    return _inside(standing, page.hint_around)
 
 
-def _bounded(strong: list[tuple], regions: dict[int, str]) -> int | None:
-    """The outermost article, else main element, that holds most of the content lines' text."""
-    total = sum(len(line[0]) for line in strong)
+def _bounds(page: Lines, strong: list[Line]) -> int:
+    """The outermost article, else main element, that holds most of the content lines' text; 0 without one."""
     for name in ("article", "main"):
-        mass: dict[int, int] = {}
+        outer = [0] * len(page.regions)
+        for i in range(1, len(outer)):
+            outer[i] = outer[page.region_around[i]] or (i if page.regions[i] == name else 0)
+        mass = [0.0] * len(page.regions)
         for line in strong:
-            outer = next((i for i in line[2] if regions.get(i) == name), None)
-            if outer is not None:
-                mass[outer] = mass.get(outer, 0) + len(line[0])
-        best = max(mass, key=mass.get, default=None)
-        if best is not None and mass[best] >= MOST * total:
+            mass[outer[line.region]] += line.chars
+        total, mass[0] = sum(mass), -1
+        best = max(range(len(mass)), key=mass.__getitem__)
+        if best and mass[best] >= MOST * total:
             return best
-    return None
-
-
-def _innermost(lines: list[tuple], strong: list[tuple], regions: dict[int, str]) -> int | None:
-    """The innermost element that holds all content lines, widened while that adds running text."""
-    common = set(strong[0][2]).intersection(*(line[2] for line in strong[1:]))
-    around = [i for i in strong[0][2] if i in common and i in regions]
-    if not around:
-        return None
-    region = around[-1]
-    for outer in reversed(around[:-1]):
-        if regions[outer] in ("body", "html"):
-            break
-        added = [line for line in lines if outer in line[2] and region not in line[2]]
-        if sum(line[3] for line in added) > (1 - LINKS) * sum(len(line[0]) for line in added):
-            break
-        region = outer
+    return 0
+
+
+def _innermost(page: Lines, lines: list[Line], strong: list[Line]) -> int:
+    """The innermost element that holds all content lines, widened while that adds running text; 0 is the page."""
+    held, chars, linked = ([0.0] * len(page.regions) for _ in range(3))
+    for line in strong:
+        held[line.region] += 1
+    for line in lines:
+        chars[line.region] += line.chars
+        linked[line.region] += line.linked
+    for values in (held, chars, linked):
+        _sums(values, page.region_around)
+    region = max(i for i in range(len(held)) if held[i] == len(strong))
+    outer = page.region_around[region]
+    while outer and page.regions[outer] not in ("body", "html") and linked[outer] - linked[region] <= (1 - LINKS) * (chars[outer] - chars[region]):
+        region, outer = outer, page.region_around[outer]
     return region
 
 
-def _without_link_rows(lines: list[tuple[tuple, bool]]) -> list[tuple]:
+def _without_link_rows(lines: list[Line]) -> list[Line]:
     """Lines but for rows of three or more neighbours that are links and no content."""
     out, row = [], []
-    for line, is_content in [*lines, (None, True)]:
-        if line is not None and not is_content and line[3] >= LINKS * len(line[0]):
+    for line in [*lines, None]:
+        if line is not None and not line.content and line.linked >= LINKS * line.chars:
             row.append(line)
             continue
         if len(row) < 3:
@@ -260,26 +307,26 @@ def _without_link_rows(lines: list[tuple[tuple, bool]]) -> list[tuple]:
 
 
 def extract(html: str) -> str:
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    if not parser.lines:
+    page = Lines()
+    page.feed(html)
+    page.close()
+    page.flush()
+    if not page.lines:
         return ""
-    content = content_lines(parser.lines)
-    gone = _standing_hints(parser.lines, content, parser.hints, parser.regions)
-    kept = [(line, is_content) for line, is_content in zip(parser.lines, content) if gone.isdisjoint(line[2])]
-    lines = [line for line, _ in kept]
-    strong = [line for line, is_content in kept if is_content] or lines
+    for line, is_content in zip(page.lines, content_lines(page.lines)):
+        line.content = is_content
+    gone = _gone(page)
+    lines = [line for line in page.lines if not all(gone[hint] for data, hint in line.pieces if not data.isspace())]
     if not lines:
         return ""
-    region = _bounded(strong, parser.regions)
-    if region is not None:
-        found = [line for line in lines if region in line[2]]
-    else:
-        region = _innermost(lines, strong, parser.regions)
-        found = _without_link_rows([(line, is_content) for line, is_content in kept if region is None or region in line[2]])
-    return "\n".join(line[0] for line in found)
+    strong = [line for line in lines if line.content] or lines
+    region = _bounds(page, strong)
+    bounded = bool(region)
+    region = region or _innermost(page, lines, strong)
+    inside = _inside({region}, page.region_around) if region else [True] * len(page.regions)
+    found = [line for line in lines if inside[line.region]]
+    texts = (" ".join("".join(data for data, hint in line.pieces if not gone[hint]).split()) for line in (found if bounded else _without_link_rows(found)))
+    return "\n".join(text for text in texts if text)
 
 
 def extract_pages(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
