@@ -8,7 +8,8 @@ from it than nearly all labelled texts of that language are from theirs is ``rej
 
 The labelled sample is bounded: about ``SAMPLE`` rows of each language, those with the
 smallest hashes of id and text; where there are so many languages that this makes more than ``SAMPLE_ROWS``, those
-are shared among them, but no language gets fewer than ``LEAST``.  Every language is learned.
+are shared among them, but no language gets fewer than ``LEAST``.  Every language is learned; a model has
+CENTROIDS * DIM numbers for each, so ``lang`` is meant to be a label of some thousand values at most.
 
 Defined results: null text and text without letters is ``und`` with score 0; texts of any length are read
 whole, in blocks; rows with null lang are never learned from, rows with null id are, like any other; without labelled rows all is ``und``; equal
