@@ -275,10 +275,14 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         named = labels.select(F.col("node").alias("n"), "label")
         placed = slim.join(F.broadcast(named) if named.count() <= SMALL else named, F.col("node") == F.col("n"), "left").select("doc", "own", "pos", F.coalesce("label", "node").alias("node"), F.when(F.col("label").isNull(), F.col("check")).alias("check"))
     place = F.struct("doc", "own", "pos")
-    firsts = keep(placed.groupBy("node", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("NOT first <=> last").select(F.col("node").alias("c"), F.col("check").alias("k"), "first"))
-    gone = placed.join(firsts, (F.col("node") == F.col("c")) & F.col("check").eqNullSafe(F.col("k"))).filter(~place.eqNullSafe(F.col("first")))
+    # only lines that stand in several places are compared by place
+    many = keep(placed.groupBy("node", "check").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("c"), F.col("check").alias("k")))
+    same = (F.col("node") == F.col("c")) & F.col("check").eqNullSafe(F.col("k"))
+    again = keep(placed.join(F.broadcast(many) if many.count() <= SMALL else many, same).drop("c", "k"))
+    firsts = again.groupBy("node", "check").agg(F.min(place).alias("first")).select(F.col("node").alias("c"), F.col("check").alias("k"), "first")
+    gone = again.join(firsts, same).filter(~place.eqNullSafe(F.col("first")))
     out = keep(gone.groupBy("doc", "own").agg(F.sort_array(F.collect_set(F.struct("pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")))).alias("removed")))
-    drop(slim, firsts, *([labels] if labels is not None else []))
+    drop(slim, many, again, *([labels] if labels is not None else []))
     return out
 
 

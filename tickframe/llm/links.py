@@ -177,23 +177,27 @@ def compare_blocks(rows: DataFrame, pool: DataFrame, prepare: Callable, linked:
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
-def resolve(entries: DataFrame, payloads: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame, DataFrame], DataFrame], prepare: Callable, linked: Callable, counts: str = "true", fits: str = "true", known: DataFrame | None = None) -> DataFrame | None:
+def resolve(entries: DataFrame, payloads: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame, DataFrame], DataFrame], prepare: Callable, linked: Callable, counts: str = "", fits: str = "true", known: DataFrame | None = None) -> DataFrame | None:
     """``(node, label)`` of all nodes that have a link, or None if there is no link; labels are the components' smallest nodes.
 
     ``entries``: (key, node, size) and flags for ``fits``, a condition on a pair that any link meets (columns of its two members end
-    in _a and _b).  Repeated entries are allowed; a flag is set if one of them has it.  A bucket without an entry that meets ``counts`` has no links.  ``payloads`` gives (node, payload)
+    in _a and _b).  Repeated entries are allowed; a flag is set if one of them has it.  Where ``counts`` names a flag, a bucket without an entry that has it has no links.  ``payloads`` gives (node, payload)
     of the nodes it is asked for; ``confirm`` takes pairs (a, b), a < b, distinct, and that table, and returns those that are
     links; ``prepare`` and ``linked`` do the same for whole blocks, as in ``compare_blocks``.  ``known``: links (a, b) that need no check."""
     extra = [c for c in entries.columns if c not in ("key", "node")]
-    keys = keep(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.expr(counts)).alias("counted"), F.count("*").alias("members")).filter("low < high AND counted").select("key", "members"))
+    # a row a key is all that the largest shuffle has: whether an entry counts is told by the sign of the least node
+    node = F.when(F.expr(counts), F.col("node").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("node").bitwiseAND(F.lit(2**63 - 1))) if counts else F.col("node")
+    spread = entries.groupBy("key").agg(F.min(node).alias("low"), F.max(node).alias("high"))
+    keys = keep(spread.filter("low < high AND low < 0" if counts else "low < high").select("key"))
     flags = [c for c in extra if c != "size"]
-    found = among(entries, "key", keys, ("members",)).groupBy("key", "node", "size", "members")
+    found = among(entries, "key", keys).groupBy("key", "node", "size")
     shared = keep(found.agg(*(F.max(c).alias(c) for c in flags)) if flags else found.agg(F.lit(0).alias("_")).drop("_"))
-    drop(keys)
-    central = keep(shared.groupBy("node").agg(F.sum("members").alias("weight")))
+    sizes = keep(shared.groupBy("key").agg(F.count("*").alias("entries")).filter("entries > 1"))
+    counted = keep(among(shared, "key", sizes, ("entries",)))
+    central = keep(counted.groupBy("node").agg(F.sum("entries").alias("weight")))
     pool = payloads(central.select("node"))
-    rows = keep(shared.join(central.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).drop("n").withColumnRenamed("members", "entries"))
-    drop(shared, central)
+    rows = keep(counted.join(central.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).drop("n"))
+    drop(keys, shared, sizes, counted, central)
     labels: DataFrame | None = None
     links: list[DataFrame] = [keep(known)] if known is not None else []
 
