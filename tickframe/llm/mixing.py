@@ -12,7 +12,8 @@ to a level); the running sum over a source's buckets shows the one in which the
 that one is split again, by the next bits of the hash, until the bits are used up.  A
 document at the end is taken if that brings the sum nearer to the budget.  Each level reads the small
 table (id, source, size, hash), written once, and sums before it shuffles, so a hot source is a few thousand
-rows for each task.
+rows for each task.  The targets themselves are found over one row a source, in one task: sources are meant to be
+collections, up to a million or so, not addresses of single pages.
 
 Defined results: null text and text without words have size 0 and are taken as often as any, for 0
 words; null is a source of its own, last; rows with equal ids share a hash and are taken or left together;
@@ -26,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import WORD, fresh, settle, text_or_empty
+from .runtime import WORD, drop, fresh, keep, text_or_empty
 
 BITS, LEVELS = 12, 5
 
@@ -87,13 +88,14 @@ def thresholds(slim: DataFrame, goal: DataFrame) -> DataFrame:
             last = F.max(F.struct((F.col("bucket") + 1).alias("bucket"), total.alias("sum")))
         found = at.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("copies").alias("copies"), F.first("budget").alias("budget"), F.coalesce(first, last).alias("edge"))
         open_ = found.select("source", "source_size", "target", "copies", "budget", F.coalesce(F.col("edge.bucket"), F.lit(0)).cast("long").alias("prefix"), F.coalesce(F.col("edge.sum"), F.lit(0)).cast("long").alias("below_sum"))
-        open_ = settle(open_)
+        before, open_ = open_, keep(open_)  # a row a source: its size is known from here on, so that it is broadcast if small
+        drop(before)
     return open_.select("source", "source_size", "target", "copies", F.col("prefix").alias("below"))
 
 
 def plan(docs: DataFrame, weights: Sequence[float], most: int = 3, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """The small table (id, source, size, hash), written once, and the sources' thresholds."""
-    slim = settle(docs.select(docs[id_column].alias("id"), docs[source_column].alias("source"), words(docs, text_column).alias("size"), unit_hash(docs[id_column]).alias("hash")))
+    slim = keep(docs.select(docs[id_column].alias("id"), docs[source_column].alias("source"), words(docs, text_column).alias("size"), unit_hash(docs[id_column]).alias("hash")))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     return slim, thresholds(slim.select("source", "size", "hash"), targets(sizes, weights, most))
 
@@ -114,7 +116,8 @@ def report(docs: DataFrame, weights: Sequence[float], most: int = 3, **columns)
 
 def mix(docs: DataFrame, weights: Sequence[float], most: int = 3, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns."""
-    _, edges = plan(docs, weights, most, id_column, source_column, text_column)
+    slim, edges = plan(docs, weights, most, id_column, source_column, text_column)
+    drop(slim)
     h, s, c, b, n = fresh(docs, "mix_hash", "mix_source", "mix_copies", "mix_below", "mix_n")
     edge = edges.select(F.col("source").alias(s), F.col("copies").alias(c), F.col("below").alias(b))
     joined = docs.withColumn(h, unit_hash(docs[id_column])).join(edge, F.col(source_column).eqNullSafe(F.col(s)), "left")
