@@ -278,7 +278,7 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     # only lines that stand in several places are compared by place
     many = keep(placed.groupBy("node", "check").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("c"), F.col("check").alias("k")))
     same = (F.col("node") == F.col("c")) & F.col("check").eqNullSafe(F.col("k"))
-    again = keep(placed.join(F.broadcast(many) if many.count() <= SMALL else many, same).drop("c", "k"))
+    again = keep(placed.join(F.broadcast(many) if many.count() <= SMALL else many, F.col("node") == F.col("c")).filter(F.col("check").eqNullSafe(F.col("k"))).drop("c", "k"))
     firsts = again.groupBy("node", "check").agg(F.min(place).alias("first")).select(F.col("node").alias("c"), F.col("check").alias("k"), "first")
     gone = again.join(firsts, same).filter(~place.eqNullSafe(F.col("first")))
     out = keep(gone.groupBy("doc", "own").agg(F.sort_array(F.collect_set(F.struct("pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")))).alias("removed")))

@@ -170,7 +170,14 @@ def j16_overlap(spark, sf_dir):
     return intervals.overlaps(c, ["stream"], "seq", width=3_600_000_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT stream, seq, pts, coalesce(duration, 0) AS d, row_number() OVER (PARTITION BY stream ORDER BY seq) - 1 AS i FROM {PACKETS_SQL} WHERE dts IS NOT NULL),
+e AS (SELECT stream, list(seq ORDER BY i) AS seqs, list(stop ORDER BY i) AS stops FROM (SELECT *, CAST(sum(d) OVER (PARTITION BY stream ORDER BY i) AS BIGINT) AS stop FROM p) GROUP BY stream),
+h AS (SELECT stream, pts, min(i) AS hit FROM p WHERE pts IS NOT NULL GROUP BY ALL),
+f AS (SELECT p.stream, seq AS frame, i AS n, hit, d // 2 AS lasts FROM p LEFT JOIN h ON h.stream = p.stream AND h.pts = CASE WHEN seq % 4 <> 0 THEN p.pts END),
+r(stream, n, frame, i, used_up) AS (SELECT DISTINCT stream, CAST(-1 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM p
+UNION ALL SELECT f.stream, f.n, f.frame, coalesce(hit, list_min(list_filter(range(r.i, len(stops)), lambda k: stops[k + 1] > r.used_up)), len(stops) - 1),
+ lasts + CASE WHEN hit IS NULL THEN r.used_up WHEN hit = 0 THEN 0 ELSE stops[hit] END FROM r JOIN f ON f.stream = r.stream AND f.n = r.n + 1 JOIN e ON e.stream = f.stream)
+SELECT r.stream, frame, seqs[i + 1] AS packet FROM r JOIN e ON e.stream = r.stream WHERE frame IS NOT NULL""")
 def j17_frame_packets(spark, sf_dir):
     """Decoded frames and the packets they come from: by time, else the packet whose duration they use up."""
     from ..operators import stateful

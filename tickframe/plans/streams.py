@@ -123,8 +123,16 @@ def r01_release_machine(spark, sf_dir):
     return machines.run_batch(p, "stream", "seq", machines.release)
 
 
-@query()
+_GO = "((primed AND horizon >= CASE WHEN lowest IS NULL THEN now + 1000000 ELSE greatest(lowest, now + 2500000) END) OR (full_ AND (primed OR starved)))"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT stream, seq, us AS now, us + bytes * 1000 AS horizon, kind = 'error' AS starved, bytes % 2 = 0 AS source, kind <> 'view' AS primed, bytes > 9000 AS full_, row_number() OVER (PARTITION BY stream ORDER BY seq) AS n FROM {PACKETS_SQL}),
+f(stream, n, seq, held, lowest, action) AS (SELECT DISTINCT stream, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), true, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM p
+UNION ALL SELECT p.stream, p.n, p.seq, CASE WHEN held THEN NOT {_GO} ELSE starved AND source END, CASE WHEN held AND NOT {_GO} THEN lowest WHEN NOT held AND starved AND source THEN now + 2500000 END,
+ CASE WHEN held AND {_GO} THEN 'play' WHEN NOT held AND starved AND source THEN 'hold' END FROM f JOIN p ON p.stream = f.stream AND p.n = f.n + 1)
+SELECT stream, seq, action FROM f WHERE action IS NOT NULL""")
 def r07_buffering(spark, sf_dir):
+    """When playback holds and goes on: starved before the end, and far enough ahead again."""
     from ..streaming import machines
 
     p = packets(spark, sf_dir)

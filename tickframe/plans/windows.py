@@ -55,7 +55,10 @@ def w04_frame_clock(spark, sf_dir):
     return ordered.clock(p, ["stream"], ["seq"]).select("stream", "seq", "time")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT stream, seq, CASE WHEN seq % 4 = 0 THEN us END AS pts, dts, duration, row_number() OVER (PARTITION BY stream ORDER BY seq) AS n FROM {PACKETS_SQL}),
+f(stream, n, seq, time, step) AS (SELECT stream, n, seq, greatest(coalesce(pts, dts, 0), 0), CASE WHEN duration > 0 THEN duration END FROM p WHERE n = 1
+UNION ALL SELECT p.stream, p.n, p.seq, greatest(coalesce(p.pts, f.time + coalesce(f.step, 0)), 0), CASE WHEN p.duration > 0 THEN p.duration ELSE f.step END FROM f JOIN p ON p.stream = f.stream AND p.n = f.n + 1)
+SELECT stream, seq, CAST(time AS BIGINT) AS time FROM f""")
 def w04_frame_clock_general(spark, sf_dir):
     p = packets(spark, sf_dir).select("stream", "seq", F.when(F.col("seq") % 4 == 0, F.col("us")).alias("pts"), F.col("dts").alias("packet_pts"), "duration")
     return stateful.clock(p)
