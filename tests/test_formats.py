@@ -218,6 +218,19 @@ def test_audio_containers():
     assert packets(b"\x0b\x77\0\0\xff\xff") == ("ac3", [], None)
 
 
+def test_more_audio_containers():
+    part = lambda kind, words, code: b"\x0b\x77" + bytes((kind << 6 | words - 1 >> 8, words - 1 & 255, code, 16 << 3)) + bytes(2 * words - 6)
+    assert packets(part(0, 10, 0b00_11_0000) + part(1, 6, 0) + part(0, 300, 0b11_01_0000) + part(0, 9, 0)[:-1]) == ("eac3", [(0, 1536, 32), (1536, 1536, 600)], None)
+    assert packets(b"\0\x08\0\0" + bytes(260) + b"\2" + bytes(2048 - 265) + bytes(424 + 100)) == ("aea", [(0, 512, 424), (512, 512, 100)], None)
+    big = lambda kind, body: kind + struct.pack(">Q", len(body)) + body + bytes(len(body) & 1)
+    sound = big(b"PROP", b"SND " + big(b"FS  ", struct.pack(">I", 2822400)) + big(b"CHNL", struct.pack(">H", 2) + b"SLFTSRGT"))
+    assert packets(big(b"FRM8", b"DSD " + big(b"FVER", b"abc") + sound + big(b"DSD ", bytes(2048 + 7)))) == ("dff", [(0, 1024, 2048), (1024, 3, 6)], None)
+    head = lambda fixed: (b"RIFF" + bytes(4) + b"QLCMfmt " + bytes(106) + struct.pack("<HHHH", fixed, 160, 8000, 16) + struct.pack("<I", 3) + bytes((3, 1, 7, 2, 9, 200))).ljust(170, b"\0")
+    assert packets(head(35) + b"vrat" + struct.pack("<III", 8, 1, 0) + b"data" + struct.pack("<I", 15) + b"\2abcdefg" + b"\3" + b"\1abc" + b"\2a") == ("qcp", [(0, 160, 7), (160, 160, 3), (320, 160, 1)], None)
+    assert packets(head(4) + b"data" + struct.pack("<I", 6) + b"\1abc\1a")[1] == [(0, 160, 3), (160, 160, 1)]
+    assert packets((b"\xd5" + bytes(32)) * 40 + b"\xd1") == ("gsm", [(n, 1, 33) for n in range(40)], None) and packets(b"\xd5" * 20)[0] is None
+
+
 def test_text_samples():
     style = lambda *rows: struct.pack(">I4sH", 10 + 12 * len(rows), b"styl", len(rows)) + b"".join(struct.pack(">HHHBB4s", a, b, 1, flags, 20, bytes((1, 2, 3, 4))) for a, b, flags in rows)
     assert movtext.read_sample(b"\0\5Hello" + b"\0\0\0\x08none" + style((1, 3, movtext.BOLD), (3, 3, 1), (4, 9, 6))) == ("Hello", [(1, 3, 1, 20, "01020304"), (4, 5, 6, 20, "01020304")])

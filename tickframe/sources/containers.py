@@ -177,6 +177,29 @@ AC3_KBITS = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384,
 AC3_SAMPLES = 1536
 
 
+#: Blocks of 256 samples by code.
+EAC3_BLOCKS = (1, 2, 3, 6)
+
+
+@demuxer("eac3", lambda b: b[:2] == b"\x0b\x77" and len(b) > 5 and 10 < b[5] >> 3 <= 16)
+def eac3(data: bytes) -> Iterator[Packet]:
+    """Frames with those that depend on them; a rate code of 3 halves the rate that the next bits name."""
+    at, done, start, found = 0, 0, 0, None
+    while at + 6 <= len(data) and data[at : at + 2] == b"\x0b\x77":
+        kind, size = data[at + 2] >> 6, 2 * ((data[at + 2] & 7) << 8 | data[at + 3]) + 2
+        code, second = data[at + 4] >> 6, data[at + 4] >> 4 & 3
+        if kind == 3 or (code == 3 and second == 3) or at + size > len(data):
+            break
+        if kind != 1:
+            if found:
+                yield 0, done, found[0], True, data[start:at], 1, found[1]
+                done += found[0]
+            start, found = at, (256 * (6 if code == 3 else EAC3_BLOCKS[second]), AC3_RATES[second] // 2 if code == 3 else AC3_RATES[code])
+        at += size
+    if found:
+        yield 0, done, found[0], True, data[start:at], 1, found[1]
+
+
 @demuxer("ac3", lambda b: b[:2] == b"\x0b\x77")
 def ac3(data: bytes) -> Iterator[Packet]:
     """Frames of 1536 samples; what lies between frames is skipped."""
@@ -198,6 +221,89 @@ def ac3(data: bytes) -> Iterator[Packet]:
         at = data.find(b"\x0b\x77", at)
 
 
+#: Bytes and samples of a sound unit and where the first one is; the sampling rate.
+AEA_UNIT, AEA_SAMPLES, AEA_START, AEA_RATE = 212, 512, 2048, 44100
+
+
+@demuxer("aea", lambda b: b[:4] == b"\0\x08\0\0" and len(b) > 264 and b[264] in (1, 2))
+def aea(data: bytes) -> Iterator[Packet]:
+    """A sound unit of each channel a packet; the last may be cut short."""
+    size = AEA_UNIT * data[264]
+    for n, at in enumerate(range(AEA_START, len(data), size)):
+        yield 0, n * AEA_SAMPLES, AEA_SAMPLES, True, data[at : at + size], 1, AEA_RATE
+
+
+@demuxer("dff", lambda b: b[:4] == b"FRM8" and b[12:16] == b"DSD ")
+def dff(data: bytes) -> Iterator[Packet]:
+    """Plain one-bit sound, 1024 bytes a channel a packet; times count bytes of a channel."""
+
+    def chunks(at: int, stop: int):
+        while at + 12 <= stop:
+            size, = struct.unpack_from(">Q", data, at + 4)
+            yield data[at : at + 4], at + 12, min(stop, at + 12 + size)
+            at += 12 + size + (size & 1)
+
+    rate = channels = 0
+    for name, start, stop in chunks(16, len(data)):
+        if name == b"PROP" and data[start : start + 4] == b"SND ":
+            for inner, at, _ in chunks(start + 4, stop):
+                if inner == b"FS  ":
+                    rate, = struct.unpack_from(">I", data, at)
+                elif inner == b"CHNL":
+                    channels, = struct.unpack_from(">H", data, at)
+        elif name == b"DSD " and rate and channels:
+            done = 0
+            while start + channels <= stop:
+                size = min(1024 * channels, stop - start) // channels * channels
+                yield 0, done, size // channels, True, data[start : start + size], 8, rate
+                start, done = start + size, done + size // channels
+
+
+#: Samples of a packet; where the header has its packet size, rate and table of packet sizes.
+QCP_SAMPLES, QCP_SIZES, QCP_TABLE, QCP_CHUNKS = 160, 122, 130, 170
+
+
+@demuxer("qcp", lambda b: b[:4] == b"RIFF" and b[8:16] == b"QLCMfmt ")
+def qcp(data: bytes) -> Iterator[Packet]:
+    """Speech packets behind a byte that names their rate, or of one size; a chunk of the file can say which."""
+    fixed, _, rate = struct.unpack_from("<HHH", data, QCP_SIZES)
+    count, = struct.unpack_from("<I", data, QCP_TABLE)
+    sizes = {data[QCP_TABLE + 4 + 2 * i + 1]: data[QCP_TABLE + 4 + 2 * i] for i in range(min(count, 8)) if data[QCP_TABLE + 4 + 2 * i + 1] <= 4}
+    at, n = QCP_CHUNKS, 0
+    while at + 8 <= len(data):
+        name, size = struct.unpack_from("<4sI", data, at)
+        at += 8
+        if name == b"vrat":
+            fixed = 0 if data[at : at + 4] != bytes(4) else fixed
+        if name != b"data":
+            at += size + (size & 1)
+            continue
+        stop = min(len(data), at + size)
+        while at < stop:
+            own = fixed - 1 if fixed else sizes.get(data[at])
+            at += 1
+            if own is not None:
+                yield 0, n * QCP_SAMPLES, QCP_SAMPLES, True, data[at : min(stop, at + own)], 1, rate
+                at, n = min(stop, at + own), n + 1
+        at += at & 1
+
+
+#: Bytes and samples of a block, the rate.
+GSM_BLOCK, GSM_SAMPLES, GSM_RATE = 33, 160, 8000
+
+
+def _is_gsm(data: bytes) -> bool:
+    marks = [data[i] & 0xF0 == 0xD0 for i in range(0, len(data) - 32, GSM_BLOCK)]
+    return sum(marks) >> 5 > len(marks) - sum(marks)
+
+
+@demuxer("gsm", _is_gsm)
+def gsm(data: bytes) -> Iterator[Packet]:
+    """Whole blocks; times count them."""
+    for n in range(len(data) // GSM_BLOCK):
+        yield 0, n, 1, True, data[n * GSM_BLOCK : (n + 1) * GSM_BLOCK], GSM_SAMPLES, GSM_RATE
+
+
 def _start_codes(data: bytes) -> Iterator[bytes]:
     at = data.find(b"\0\0\1")
     while at >= 0:
