@@ -18,11 +18,10 @@ from tickframe.llm.runtime import fresh, keep, settle, text_or_empty
 SIMILAR = 80
 
 
-def _having(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents whose id is among ``verdicts`` (doc_id); null ids count as equal."""
-    (key,) = fresh(docs, "kept_doc_id")
-    ids = verdicts.select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(key)), "left_semi")
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents whose id is (left_semi) or isn't (left_anti) among ``ids`` (doc_id)."""
+    (key,) = fresh(docs, "other_doc_id")
+    return docs.join(ids.select(F.col("doc_id").alias(key)).distinct(), docs["doc_id"] == F.col(key), how)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,16 +58,17 @@ def _without_id(lone: DataFrame, numbered: DataFrame) -> DataFrame:
 
 
 def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    kept = _having(docs, found.filter("kept"))
+    # those that go are the fewer, so that they may be broadcast; all rows of an id have one verdict
+    kept = _by_id(docs, found.filter("NOT kept"), "left_anti")
     again = keep(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if again.isEmpty():
         return kept
     # rows that share an id are rare: only they are compared with each other
     (key, least) = fresh(docs, "row_key", "least_key")
-    twice = _having(kept, again).withColumn(key, F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    twice = _by_id(kept, again, "left_semi").withColumn(key, F.xxhash64(F.to_json(F.struct(*docs.columns))))
     first = twice.groupBy("doc_id").agg(F.min(key).alias(least)).select(F.col("doc_id").alias(fresh(docs, "first_doc_id")[0]), least)
     one = twice.join(first, (F.col("doc_id") == F.col(first.columns[0])) & (F.col(key) == F.col(least))).dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again.withColumnRenamed("doc_id", least), kept["doc_id"] == F.col(least), "left_anti").unionByName(one)
+    return _by_id(kept, again, "left_anti").unionByName(one)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
