@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .links import SMALL, among, resolve
-from .runtime import WORD, drop, fresh, keep, map_columns, ship, slices, text_or_empty
+from .runtime import WORD, begin, drop, fresh, keep, map_columns, ship, slices, text_or_empty
 
 EDITS, MIN_CHARS, NEAR_CHARS = 2, 1, 15
 SPACES = " \t\r\f\v"
@@ -146,7 +146,7 @@ def near(edits: int):
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE, _MIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), np.uint64(0xBF58476D1CE4E5B9)
 #: Characters hashed at once; a longer line is alone.
-RUN = 1 << 20
+RUN = 1 << 18
 
 
 @functools.lru_cache(maxsize=1)
@@ -202,6 +202,7 @@ def _keys(batches, edits: int):
     import pyarrow as pa
     import xxhash
 
+    begin(f"{__name__}.keys")
     recent: set[int] = set()
     node_of = xxhash.xxh64_intdigest
     for batch in batches:

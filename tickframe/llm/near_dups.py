@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .links import SMALL, among, resolve
-from .runtime import Memo, drop, keep, map_columns, ship, slices, text_or_empty
+from .runtime import Memo, begin, drop, keep, map_columns, ship, slices, text_or_empty
 
 WORDS, REGISTERS, BASE, RATE, TOP, MISS = 5, 125, 1.1, 20, 255, 1e-6
 BLOCK, COLUMNS = 4096, 4096
@@ -50,7 +50,7 @@ _SEEDS = _mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _MULTIPLY) | np.uin
 def _word_hashes() -> Memo:
     import xxhash
 
-    return Memo(xxhash.xxh3_64_intdigest, 500_000, 40)
+    return Memo(xxhash.xxh3_64_intdigest, 250_000, 40)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -133,6 +133,7 @@ def with_set(rows: DataFrame, text_column: str, key: str) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        begin(f"{__name__}.with_set")
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(text) for text in part.column(at).to_pylist()]

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import drop, fresh, keep, map_columns, ship, slices, text_or_empty
+from .runtime import begin, drop, fresh, keep, map_columns, ship, slices, text_or_empty
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 COMMON, LEAST_SHARE = 1 / 400, 1 / 1000
@@ -146,20 +146,23 @@ def _count(batches):
     classes: dict = {}
 
     def out():
-        rows = [(lang, "w", w.decode(), n) for lang, c in words.items() for w, n in c.items()] + [(lang, "c", str(i), int(n)) for lang, c in classes.items() for i, n in enumerate(c)]
-        words.clear()
-        classes.clear()
-        columns = list(zip(*rows)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], names=["lang", "kind", "key", "n"])
-
+        """A batch a language: its words' counts and its classes'."""
+        for lang in [*words, *(x for x in classes if x not in words)]:
+            found, shape = words.pop(lang, {}), classes.pop(lang, ())
+            keys = pa.concat_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array([str(i) for i in range(len(shape))], pa.string())])
+            kinds = pa.array(["w", "c"]).take(pa.array(np.repeat([0, 1], [len(found), len(shape)])))
+            n = np.concatenate([np.fromiter(found.values(), np.int64, len(found)), np.asarray(shape, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), kinds, keys, pa.array(n)], names=["lang", "kind", "key", "n"])
+
+    begin(f"{__name__}.count")
     for batch in batches:
         for part in slices(batch):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words[lang].update(words_of(text.lower()))
                 classes[lang] = classes.get(lang, 0) + class_counts(text)
             if sum(map(len, words.values())) > FLUSH:
-                yield out()
-    yield out()
+                yield from out()
+    yield from out()
 
 
 def references(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> list[tuple]:
@@ -268,6 +271,7 @@ def keep_good(docs: DataFrame, text_column: str = "text", lang_column: str = "la
     def run(batches):
         import pyarrow as pa
 
+        begin(f"{__name__}.keep_good")
         judge = _judge(key) if refs else None
         for batch in batches:
             for part in slices(batch):

@@ -8,6 +8,7 @@ one very long text at a time.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -41,9 +42,12 @@ def map_columns(df: DataFrame, columns: list, schema: str, kernel: Callable) ->
     names = [f.name for f in _parse(schema)]
     types = _arrow(schema)
 
+    name = f"{kernel.__module__}.{kernel.__qualname__}"
+
     def run(batches):
         import pyarrow as pa
 
+        begin(name)
         for batch in batches:
             for part in slices(batch):
                 out = kernel(*(part.column(i).to_pylist() for i in range(part.num_columns)))
@@ -106,11 +110,25 @@ def drop(*tables: DataFrame) -> None:
             delete_folder(df.sparkSession, path)
 
 
+_running = ""
+_memos: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
+
+
+def begin(kernel: str) -> None:
+    """A worker lives on for other kernels: what the last one remembered is forgotten when another begins."""
+    global _running
+    if kernel != _running:
+        _running = kernel
+        for memo in list(_memos.values()):
+            memo.clear()
+
+
 class Memo(dict):
-    """A bounded cache around a function of one key; forgets all when full."""
+    """A bounded cache around a function of one key; forgets all when full, and when a worker goes on to another kernel."""
 
     def __init__(self, function: Callable, entries: int, longest: int):
         super().__init__()
+        _memos[id(self)] = self
         self.function, self.entries, self.longest = function, entries, longest
 
     def __missing__(self, key):
